@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import cut, table
-from . import containers, neardup, quota, terms
+from . import containers, neardup, quota, terms, truncation
 from .messages import distinct_messages
 
 
@@ -68,6 +68,18 @@ def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
     return quota.draw(cut(allocation), members)
 
 
+def _truncated(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(_contents(spark, folder, "content", "source"), "message_id", "source", "content")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _truncated(spark, folder).where("truncated").select(F.col("id").alias("message_id"))
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_rates(_truncated(spark, folder))
+
+
 def _sizes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, folder, "documents").where("doc_id is not null")
     sizes = containers.token_counts(documents, "doc_id", "text", VOCABULARY)
