@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..context import cut, table
-from . import containers, neardup, quota, terms, truncation
+from . import containers, leakage, neardup, quota, spam, terms, truncation
 from .messages import distinct_messages
 
 
@@ -96,5 +96,25 @@ def p5_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select(F.col("id").alias("doc_id"), "part", F.col("grp").alias("source"), "container", "size", F.col("capacity").alias("max_tokens"))
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "item_text")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).where("exact_windows > 0").select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_scores(spark, folder).where("spam").select("doc_id")
+
+
+def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.spam_scores(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
