@@ -104,7 +104,7 @@ def edit_distance_reward(prompt: Column, read: Column) -> Column:
 
 
 def length_reward(completion: Column, target: int = 20) -> Column:
-    return -F.abs(F.lit(target) - F.length(completion)).cast("double")
+    return (-F.abs(F.lit(target) - F.length(completion))).cast("double")
 
 
 def control_reward(token: Column, score: Column) -> Column:

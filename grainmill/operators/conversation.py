@@ -64,9 +64,10 @@ def shared_prompt_length(chosen: Column, rejected: Column) -> Column:
 
 def extract_prompt(pairs: DataFrame) -> DataFrame:
     """Turns that chosen and rejected begin with become the prompt, and leave both sides."""
-    n = shared_prompt_length(F.col("chosen"), F.col("rejected"))
+    n = F.col("_shared")  # a column of its own: the lambda inside must not be evaluated in three places
     rest = lambda c: F.slice(F.col(c), n + 1, F.greatest(F.size(c), F.lit(1)))
-    return pairs.withColumns({"prompt": F.slice("chosen", F.lit(1), n), "chosen": rest("chosen"), "rejected": rest("rejected")})
+    known = pairs.withColumn("_shared", shared_prompt_length(F.col("chosen"), F.col("rejected")))
+    return known.withColumns({"prompt": F.slice("chosen", F.lit(1), n), "chosen": rest("chosen"), "rejected": rest("rejected")}).drop("_shared")
 
 
 def maybe_extract_prompt(pairs: DataFrame) -> DataFrame:
