@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..context import cut, table
 from . import containers, leakage, neardup, quota, spam, terms, truncation
 from .messages import distinct_messages
+from .sql import SQL
 
 
 def _contents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -118,3 +119,7 @@ def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
