@@ -152,13 +152,17 @@ def from_four(df: DataFrame) -> DataFrame:
     return df.where(~same).select(F.col("query").alias("prompt"), chosen.alias("chosen"), other(chosen).alias("rejected"))
 
 
+def _strip(s: Column) -> Column:
+    return F.regexp_replace(s, r"^\s+|\s+$", "")
+
+
 def from_marked_steps(df: DataFrame, marker: str = "ки") -> DataFrame:
     """input with markers after each step and label with + or - in their places: prompt, completions, labels."""
     first = F.instr("input", "Step 1:")
     prompt = F.trim(F.when(first > 0, F.substr("input", F.lit(1), first - 1)).otherwise(F.col("input")))
     n = F.size(F.split(F.col("input"), marker)) - 1
-    steps = F.transform(F.slice(F.split(F.when(first > 0, F.substr("input", first)).otherwise(F.lit("")), marker), F.lit(1), F.greatest(n, F.lit(0))), F.trim)
-    signs = F.transform(F.filter(F.split(F.when(first > 0, F.substr("label", first)).otherwise(F.lit("")), r"Step \d+: "), lambda s: s != ""), lambda s: F.substr(F.trim(s), F.length(F.trim(s)), F.lit(1)) == "+")
+    steps = F.transform(F.slice(F.split(F.when(first > 0, F.substr("input", first)).otherwise(F.lit("")), marker), F.lit(1), F.greatest(n, F.lit(0))), _strip)
+    signs = F.transform(F.filter(F.split(F.when(first > 0, F.substr("label", first)).otherwise(F.lit("")), r"Step \d+: "), lambda s: s != ""), lambda s: F.endswith(_strip(s), F.lit("+")))
     return df.select(prompt.alias("prompt"), steps.alias("completions"), signs.alias("labels"))
 
 
