@@ -44,8 +44,8 @@ def allocate(targets: DataFrame, config: DataFrame, concepts: DataFrame, members
 
     n: distinct samples; wanted: share * fraction * all samples; least and most: the bounds; met: whether wanted lies
     within them. quota: whole copies allotted in the end, with what siblings and cousins took over; unplaced: what the
-    arm could place nowhere (the same in all its rows). Null shares, unknown arms and null nodes give no row; an empty
-    index makes all positive targets unmet. Repeated targets are kept as they are.
+    arm could place nowhere (the same in all its rows). Null shares, unknown arms and null nodes give no row. Of an
+    empty index nothing is wanted, so all targets are met. Repeated targets are kept as they are.
     """
     supply = members.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     total = members.agg(F.count_distinct("sample_key").alias("t")).scalar()

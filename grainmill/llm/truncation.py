@@ -76,7 +76,11 @@ def storage_limits(texts: DataFrame, source: str, text: str) -> DataFrame:
     )
     order = {k: i for i, k in enumerate(lengths(F.lit("")))}
     rank = F.create_map(*[x for k, i in order.items() for x in (F.lit(k), F.lit(i))])[F.col("measure")]
-    best = spiked.groupBy("source").agg(F.max(F.struct(F.when(F.col("measure").endswith("utf8"), F.col("below")).otherwise(F.col("n")).alias("at_limit"), (-rank).alias("r"), "measure", F.col("length").alias("limit"))).alias("b"))
+    # a byte limit is told from a character limit by the texts just below it, if they are more than chance puts there
+    early = F.col("below") - F.col("n") - SLACK * F.col("wide")
+    cut_early = F.col("measure").endswith("utf8") & (early > F.greatest(F.lit(3.0), 0.1 * F.col("n")))
+    at_limit = F.when(cut_early, F.col("below")).otherwise(F.col("n"))
+    best = spiked.groupBy("source").agg(F.max(F.struct(at_limit.alias("at_limit"), (-rank).alias("r"), "measure", F.col("length").alias("limit"))).alias("b"))
     return best.select("source", "b.measure", "b.limit", "b.at_limit")
 
 
