@@ -78,18 +78,24 @@ def cgk(symbols: np.ndarray, starts: np.ndarray, length: int, bits: np.ndarray,
     return out
 
 
-def edit_distance(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Row by row Levenshtein distance of two arrays of equal shape."""
-    n, m = one.shape
-    before = np.tile(np.arange(m + 1), (n, 1))
+def edit_distance(one: np.ndarray, two: np.ndarray, most: int) -> np.ndarray:
+    """Row by row Levenshtein distance of two arrays of equal shape, `most + 1` where it is larger than `most`.
+
+    Only the band of the table that a distance up to `most` can touch is filled, a whole column of rows at a time.
+    """
+    one, two = np.ascontiguousarray(one.T), np.ascontiguousarray(two.T)
+    m, n = one.shape
+    far = np.full(n, most + 1, np.int8)
+    before = [np.full(n, min(j, most + 1), np.int8) for j in range(m + 1)]
     for i in range(m):
-        now = np.empty_like(before)
-        now[:, 0] = i + 1
-        for j in range(m):
-            same = one[:, i] == two[:, j]
-            now[:, j + 1] = np.minimum(np.minimum(now[:, j], before[:, j + 1]) + 1, before[:, j] + ~same)
+        now = [far] * (m + 1)
+        now[0] = np.full(n, min(i + 1, most + 1), np.int8)
+        for j in range(max(0, i - most), min(m, i + most + 1)):
+            step = np.minimum(now[j], before[j + 1])
+            step += 1
+            now[j + 1] = np.minimum(step, before[j] + (one[i] != two[j]).view(np.int8))
         before = now
-    return before[:, m]
+    return np.minimum(before[m], most + 1).astype(np.int64)
 
 
 class ItemIndex:
@@ -166,7 +172,7 @@ class ItemIndex:
                 distance = np.where((text == grid[win]).all(1), 0, size)
                 rest = np.flatnonzero(distance)
                 if edits and len(rest):
-                    distance[rest] = edit_distance(text[rest], grid[win[rest]])
+                    distance[rest] = edit_distance(text[rest], grid[win[rest]], edits)
                 ok = np.flatnonzero(distance <= edits)
                 if len(ok):
                     lens = np.array([len(members[k]) for k in win[ok]])
