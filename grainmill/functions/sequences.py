@@ -120,3 +120,25 @@ def gae(rewards: Column, values: Column, gamma: float = 1.0, lam: float = 0.95)
     start = F.expr("cast(array() as array<double>)")
     back = F.aggregate(F.reverse(delta), start, lambda acc, d: F.concat(F.array(d + gamma * lam * F.coalesce(F.get(acc, F.lit(0)), F.lit(0.0))), acc))
     return back
+
+
+#: Fixed value: the placeholder of a picture among token ids.
+IMAGE = -200
+
+
+def image_splice(chunks: Column, bos: int | None = None) -> Column:
+    """Token ids of a prompt's pieces (array of arrays), one placeholder between each two; a leading start token that every
+    piece has is kept once."""
+    bare = chunks if bos is None else F.transform(chunks, lambda c: F.when(F.get(c, F.lit(0)).eqNullSafe(F.lit(bos)), F.slice(c, 2, F.greatest(F.size(c), F.lit(1)))).otherwise(c))
+    joined = F.flatten(F.transform(bare, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.array(F.lit(IMAGE)), c))))
+    first = F.get(F.get(chunks, F.lit(0)), F.lit(0))
+    return joined if bos is None else F.when(first.eqNullSafe(F.lit(bos)), F.concat(F.array(F.lit(bos)), joined)).otherwise(joined)
+
+
+def dialogue_split(values: Column, spans: Column) -> Column:
+    """struct(query, response, mask) of a history's tokens: spans (array of struct<length, generated>) in order; the first is
+    the query, the mask marks what the model wrote among the rest."""
+    q = F.get(spans, F.lit(0))["length"]
+    rest = F.slice(spans, 2, F.greatest(F.size(spans), F.lit(1)))
+    mask = F.flatten(F.transform(rest, lambda s: F.array_repeat(s["generated"].cast("int"), s["length"])))
+    return F.struct(F.slice(values, F.lit(1), q).alias("query"), F.slice(values, q + 1, F.greatest(F.size(values), F.lit(1))).alias("response"), mask.alias("mask"))

@@ -140,3 +140,14 @@ def image_token_turns(conversation: Column, token: str = "<image>", start: str =
     """The image token of answering turns between its marks."""
     wrapped = f"{start}{token}{end}"
     return F.transform(conversation, lambda x: F.struct(x["from"].alias("from"), F.when(x["from"] == "gpt", F.replace(x["value"], F.lit(token), F.lit(wrapped))).otherwise(x["value"]).alias("value")))
+
+
+def without_nulls(fields: Column) -> Column:
+    """A map without the entries whose value is null."""
+    return F.map_filter(fields, lambda k, v: v.isNotNull())
+
+
+def json_pick(json_array: Column, element: str, key: Column, seed: int = 42) -> Column:
+    """One element of a JSON array, by a hash of the row's key; null for an empty or broken one."""
+    items = F.from_json(json_array, f"array<{element}>")
+    return F.when(F.size(items) > 0, F.get(items, F.pmod(F.xxhash64(key, F.lit(seed)), F.size(items)).cast("int")))

@@ -181,3 +181,27 @@ def from_step_tree(df: DataFrame) -> DataFrame:
     )
     alls = F.when(F.size("steps") > 0, F.concat(rows, F.array(path))).otherwise(rows)
     return df.select(F.col("problem").alias("prompt"), F.explode(alls).alias("p")).select("prompt", F.transform("p", lambda c: c["text"]).alias("completions"), F.transform("p", lambda c: c["rating"] == 1).alias("labels"))
+
+
+def format_text(df: DataFrame) -> DataFrame:
+    """Adds `formatted` by the schema: messages, or instruction (prompt) with completion. Another schema is an error."""
+    if "messages" in df.columns and is_conversational(df.schema["messages"].dataType):
+        return df.withColumn("formatted", X.render(F.col("messages")))
+    if {"prompt", "completion"} <= set(df.columns):
+        turns = F.array(X.turn("user", F.col("prompt")), X.turn("assistant", F.col("completion")))
+        return df.withColumn("formatted", X.render(turns))
+    raise ValueError(f"no formatting for the columns {df.columns}")
+
+
+def flatten(df: DataFrame, sep: str = "/") -> DataFrame:
+    """Nested structs as columns named by their path; a name that holds the separator is an error."""
+
+    def walk(schema: T.StructType, path: tuple[str, ...]) -> list[tuple[str, ...]]:
+        out = []
+        for f in schema.fields:
+            if sep in f.name:
+                raise ValueError(f"{f.name!r} holds {sep!r}")
+            out += walk(f.dataType, (*path, f.name)) if isinstance(f.dataType, T.StructType) else [(*path, f.name)]
+        return out
+
+    return df.select(*[F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path)) for path in walk(df.schema, ())])

@@ -35,3 +35,12 @@ def win_rate(rows: DataFrame, winner: str, probability: str | None = None) -> Da
     """One row: share of winner 1 (failures count among all), and 1 - mean probability of the reference."""
     columns = [F.count(F.lit(1)).alias("n"), F.avg((F.col(winner) == 1).cast("double")).alias("win_rate")]
     return rows.agg(*columns, *([(1 - F.avg(probability)).alias("win_probability")] if probability else []))
+
+
+def pick_pair(rows: DataFrame, prompt: str, place: str, score: str, item: str) -> DataFrame:
+    """(prompt, chosen, rejected) of two candidates per prompt, places 0 and 1: the first is chosen if it scores at least as
+    high. A prompt with one candidate gives no row."""
+    at = lambda i, c: F.max(F.when(F.col(place) == i, F.col(c)))
+    both = rows.groupBy(prompt).agg(at(0, score).alias("s0"), at(1, score).alias("s1"), at(0, item).alias("i0"), at(1, item).alias("i1"))
+    first = F.col("s0") >= F.col("s1")
+    return both.where("s0 is not null and s1 is not null").select(prompt, F.when(first, F.col("i0")).otherwise(F.col("i1")).alias("chosen"), F.when(first, F.col("i1")).otherwise(F.col("i0")).alias("rejected"))

@@ -84,3 +84,48 @@ def links(tagged: DataFrame, matches: DataFrame, key: str, tags: str = "tags") -
 
 def distinct_links(rows: DataFrame) -> DataFrame:
     return rows.where("sample_key is not null and node_id is not null").select("sample_key", "node_id").distinct()
+
+
+def rerank(matches: DataFrame, tag_vectors: DataFrame, node_vectors: DataFrame, margin: float = 0.03, top_k: int = 3) -> DataFrame:
+    """Matches in order of the cosine of (tag, vector) and (node_id, vector): within a margin of the best, at most top_k.
+    A match without both vectors keeps its lexical score."""
+    cosine = F.aggregate(F.zip_with("tv", "nv", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda a: a.cast("double") * a), F.lit(0.0), lambda s, x: s + x))
+    both = matches.join(tag_vectors.select("tag", F.col("vector").alias("tv")), "tag", "left").join(node_vectors.select("node_id", F.col("vector").alias("nv")), "node_id", "left")
+    score = F.coalesce(F.try_divide(cosine, norm("tv") * norm("nv")), F.col("score"))
+    w = W.partitionBy("tag")
+    scored = both.withColumn("score", score).withColumn("best", F.max("score").over(w)).where(F.col("score") >= F.col("best") - margin)
+    return scored.withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "node_id"))).where(F.col("r") <= top_k).select("tag", "node_id", "node_name", "score")
+
+
+def check_taxonomy(concepts: DataFrame, edges: DataFrame, root: str) -> None:
+    """The root is a concept, there are concepts, and every edge has both ends."""
+    if concepts.where(F.col("node_id") == root).isEmpty():
+        raise ValueError(f"no root {root!r}")
+    ids = concepts.select("node_id")
+    for end in ("child", "parent"):
+        if not edges.join(ids, F.col(end) == F.col("node_id"), "left_anti").isEmpty():
+            raise ValueError(f"an edge has a {end} that is no concept")
+
+
+def ancestors(edges: DataFrame, depth: int = 40) -> DataFrame:
+    """(node_id, ancestor), each node its own ancestor too, from (child, parent) edges of an acyclic taxonomy. Paths double in
+    length each round."""
+    from ..context import cut
+
+    direct = edges.select(F.col("child").alias("node_id"), F.col("parent").alias("ancestor")).where("node_id is not null and ancestor is not null")
+    ends = direct.select("node_id").unionByName(direct.select(F.col("ancestor").alias("node_id"))).distinct()
+    now = cut(direct.unionByName(ends.withColumn("ancestor", F.col("node_id"))).distinct())
+    count = now.count()
+    for _ in range(depth):
+        far = now.alias("a").join(now.alias("b"), F.col("a.ancestor") == F.col("b.node_id")).select(F.col("a.node_id"), F.col("b.ancestor")).distinct()
+        now = cut(far)
+        if (n := now.count()) == count:
+            return now
+        count = n
+    raise ValueError("the taxonomy is deeper than allowed, or has a cycle")
+
+
+def primary_group(closure: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node_id, group_id): of a node's ancestors that are groups, the one with the least id."""
+    return closure.join(small(groups.select(F.col("group_id"))), F.col("ancestor") == F.col("group_id")).groupBy("node_id").agg(F.min("group_id").alias("group_id"))

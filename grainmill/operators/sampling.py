@@ -94,3 +94,8 @@ def round_robin(place: Column, n: int) -> Column:
 
 def first_k(rows: DataFrame, k: int, *order: Column | str) -> DataFrame:
     return rows.orderBy(*order).limit(k)
+
+
+def head_fraction(rows: DataFrame, fraction: float, *order: Column | str) -> DataFrame:
+    """The first rows in order, that share of all rounded down."""
+    return rows.orderBy(*order).limit(int(rows.count() * fraction))
