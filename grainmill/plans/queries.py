@@ -498,12 +498,12 @@ def flat_groups(spark: SparkSession, d: str) -> DataFrame:
 @query("""with recursive o as (select user_id, value, row_number() over (partition by user_id order by event_id) t, count(*) over (partition by user_id) n from events qualify t<=20),
  x as (select a.user_id, a.t, least(20,a.n) n, a.value r, a.value/2 v, coalesce(lead(a.value/2) over (partition by a.user_id order by a.t),0) vn from o a),
  g as (select user_id, t, r+0.99*vn-v adv from x where t=n union all select x.user_id, x.t, x.r+0.99*x.vn-x.v+0.99*0.95*g.adv from x join g on x.user_id=g.user_id and x.t=g.t-1)
- select user_id, t::int as t, round(adv,5) as advantage from g""")
+ select user_id, t::int as t, round(adv,9) as advantage from g""")
 def gae(spark: SparkSession, d: str) -> DataFrame:
     steps = _events(spark, d).groupBy("user_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("event_id", "value"))), 1, 20).alias("s"))
     r, v = F.transform("s", lambda x: x["value"]), F.transform("s", lambda x: x["value"] / 2)
     out = steps.select("user_id", F.posexplode(sequences.gae(r, v, 0.99, 0.95)).alias("t", "advantage"))
-    return out.select("user_id", (F.col("t") + 1).alias("t"), _r("advantage", 5).alias("advantage"))
+    return out.select("user_id", (F.col("t") + 1).alias("t"), _r("advantage", 9).alias("advantage"))
 
 
 @query("""with s as (select event_id//500 step, count(value) c, sum(value) s, sum(value*value) q from events group by 1)
