@@ -8,7 +8,9 @@ The steps, all over whole texts and all rows:
    are candidates.
 3. A key shared by many classes is a hot bucket. Its pairs aren't emitted; its members are keyed again by their
    least-frequent shingles (prefix filter), which loses no pair at or above the threshold.
-4. Candidates are checked by their signatures' agreement (a bound six standard deviations wide) and then exactly.
+4. Candidates of a bucket are checked there by their signatures, one bit of each of 256 minima: a pair goes on if its bits
+   agree as often as those of a pair at the threshold would but for five standard deviations. What is left is checked
+   exactly, on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -35,15 +37,25 @@ class NearDuplicates:
     shingle: int = 5
     threshold: float = 0.8
     least_words: int = 5
-    bands: int = 20
+    bands: int = 26
     rows: int = 5
     seed: int = 20240229
     #: A bucket of more classes than this is keyed again rather than paired.
     hot_bucket: int = 64
     #: Copies of one text, or two classes, are written out pair by pair up to so many pairs; beyond that as a star.
     expand_pairs: int = 4096
-    #: Minima kept as 16-bit fingerprints for the signature check.
-    checked: int = 128
+    #: Minima of which one bit is kept for the signature check, in words of 64 bits.
+    checked: int = 256
+
+    @property
+    def sketch(self) -> int:
+        return min(self.checked, self.bands * self.rows) // 64
+
+    @property
+    def most_unequal(self) -> int:
+        """Of the kept bits, how many may differ: a pair at similarity t agrees in each with probability (1 + t) / 2."""
+        k, q = 64 * self.sketch, (1 - self.threshold) / 2
+        return int(k * q + 5 * (k * q * (1 - q)) ** 0.5)
 
 
 def shingle_hashes(tokens: list[str], n: int, known: dict[str, int]) -> np.ndarray:
@@ -112,12 +124,12 @@ def _sign(p: NearDuplicates):
                     keys ^= keys >> np.uint64(31)
                 keys = (keys ^ np.arange(p.bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
                 step = np.arange(len(part) + 1, dtype=np.int32)
-                short = (minima[:, : p.checked] & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
+                bits = np.packbits((minima[:, : 64 * p.sketch] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, 256),
                         pa.ListArray.from_arrays(pa.array(step * p.bands), pa.array(keys.ravel())),
-                        pa.ListArray.from_arrays(pa.array(step * short.shape[1]), pa.array(short.ravel())),
+                        pa.ListArray.from_arrays(pa.array(step * p.sketch), pa.array(bits.ravel())),
                     ],
                     names=["rep", "keys", "sketch"],
                 )
@@ -125,10 +137,8 @@ def _sign(p: NearDuplicates):
     return run
 
 
-def _agreement(p: NearDuplicates):
-    """Of each candidate: does the exact similarity reach the threshold? Exact counts only where the signatures allow it."""
-    k = min(p.checked, p.bands * p.rows)
-    least = k * (p.threshold - 6 * (p.threshold * (1 - p.threshold) / k) ** 0.5)
+def _exact(p: NearDuplicates):
+    """Of each candidate: does the similarity of the whole sets reach the threshold?"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,15 +147,12 @@ def _agreement(p: NearDuplicates):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n = batch.num_rows
-            same = (rows(batch.column(2))[0].reshape(n, -1) == rows(batch.column(3))[0].reshape(n, -1)).sum(1)
-            (xa, oa), (xb, ob) = rows(batch.column(4)), rows(batch.column(5))
-            sim = np.full(n, -1.0)
-            for i in np.flatnonzero(same >= least):
+            (xa, oa), (xb, ob) = rows(batch.column(2)), rows(batch.column(3))
+            sim = np.full(batch.num_rows, -1.0)
+            for i in range(batch.num_rows):
                 s, t = xa[oa[i] : oa[i + 1]], xb[ob[i] : ob[i + 1]]
-                if min(len(s), len(t)) >= p.threshold * max(len(s), len(t)):
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    sim[i] = both / (len(s) + len(t) - both)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                sim[i] = both / (len(s) + len(t) - both)
             keep = np.flatnonzero(sim >= p.threshold)
             if len(keep):
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(sim[keep])], names=["a", "b", "similarity"])
@@ -192,27 +199,25 @@ def _hot_pairs(hot: DataFrame, classes: DataFrame, p: NearDuplicates) -> DataFra
 
 def similar_classes(classes: DataFrame, p: NearDuplicates) -> DataFrame:
     """(a, b, similarity), a < b: pairs of class representatives at or above the threshold."""
-    signed = cut(classes.select("rep", "shingles").mapInArrow(_sign(p), "rep long, keys array<long>, sketch array<short>"))
+    signed = cut(classes.select("rep", "shingles").mapInArrow(_sign(p), "rep long, keys array<long>, sketch array<long>"))
     keyed = signed.select("rep", F.explode("keys").alias("key"))
-    # most keys are of one class: they end here, in an aggregate that combines before the shuffle
-    buckets = (
-        keyed.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-        .where("n > 1")
-    )
-    buckets = cut(buckets)
-    two = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    members = cut(keyed.join(buckets.where("n > 2").select("key", "n"), "key"))
+    # most keys are of one class: they end here, in an aggregate that combines before the shuffle and carries no more than a count
+    buckets = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = cut(keyed.join(buckets, "key"))
     few = members.where(F.col("n") <= p.hot_bucket).select("key", "rep")
-    paired = few.withColumnRenamed("rep", "a").join(few.withColumnRenamed("rep", "b"), "key").where("a < b").select("a", "b")
+    bits = [f"s{k}" for k in range(p.sketch)]
+    sketches = signed.join(few.select("rep").distinct(), "rep", "left_semi").select("rep", *[F.get("sketch", F.lit(k)).alias(c) for k, c in enumerate(bits)])
+    known = few.join(sketches, "rep")
+    other = known.select("key", F.col("rep").alias("b"), *[F.col(c).alias(f"{c}b") for c in bits])
+    unequal = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}b"))) for c in bits), F.lit(0))
+    paired = known.withColumnRenamed("rep", "a").join(other, "key").where((F.col("a") < F.col("b")) & (unequal <= p.most_unequal)).select("a", "b")
     hot = members.where(F.col("n") > p.hot_bucket)
-    candidates = two.unionByName(paired).unionByName(_hot_pairs(hot, classes, p)).distinct()
-    full = classes.select("rep", "shingles").join(signed.select("rep", "sketch"), "rep")
-    full = cut(full)
-    left = full.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a"), F.col("shingles").alias("shingles_a"))
-    right = full.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b"), F.col("shingles").alias("shingles_b"))
-    checked = candidates.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b", "shingles_a", "shingles_b")
-    return checked.mapInArrow(_agreement(p), "a long, b long, similarity double")
+    candidates = paired.unionByName(_hot_pairs(hot, classes, p)).distinct()
+    # sets no larger than the threshold allows the pair to differ; then the sets themselves
+    left = classes.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+    right = classes.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    sized = candidates.join(left, "a").join(right, "b").where(F.least(F.size("sa"), F.size("sb")) >= p.threshold * F.greatest(F.size("sa"), F.size("sb")))
+    return sized.select("a", "b", "sa", "sb").mapInArrow(_exact(p), "a long, b long, similarity double")
 
 
 def near_duplicate_pairs(texts: DataFrame, id_column: str, text: str, p: NearDuplicates = NearDuplicates()) -> DataFrame:
