@@ -44,6 +44,12 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if planned_bytes(df) <= limit else df
 
 
+def listed(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Materialise a table that should be small, count it, and hint a broadcast if it is."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns and no others: extra input columns never reach an operator, whatever they are called."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
