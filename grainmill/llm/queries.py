@@ -83,9 +83,8 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sizes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, folder, "documents").where("doc_id is not null")
-    sizes = containers.token_counts(documents, "doc_id", "text", VOCABULARY)
     specs = table(spark, folder, "pack_specs").select(F.col("source").alias("grp"), F.col("max_tokens").alias("capacity"))
-    return sizes.join(documents.select(F.col("doc_id").alias("id"), F.col("source").alias("grp")), "id"), specs
+    return containers.token_counts(documents, "doc_id", "text", VOCABULARY, "source"), specs
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

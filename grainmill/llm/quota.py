@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..context import cut, small
+from ..context import cut, listed, small
 
 #: Rows ranked by one window partition. A category larger than this is ranked in hash ranges whose counts are added up.
 RANK_ROWS = 20_000
@@ -97,7 +97,7 @@ def permuted_rank(members: DataFrame, seed: int = 0) -> DataFrame:
     """
     placed = members.where("node is not null").select("sample_key", "node", F.pmod(F.xxhash64("sample_key", F.lit(seed)), F.lit(1 << 32)).alias("h"))
     sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    ranged = placed.join(sizes, "node").withColumn("range", F.expr(f"h div (4294967296 div least(4194304, n div {RANK_ROWS} + 1))"))
+    ranged = placed.join(listed(sizes), "node").withColumn("range", F.expr(f"h div (4294967296 div least(4194304, n div {RANK_ROWS} + 1))"))
     ranged = cut(ranged)
     counts = ranged.groupBy("node", "range").agg(F.count(F.lit(1)).alias("c"))
     before = counts.withColumn("before", F.sum("c").over(W.partitionBy("node").orderBy("range").rowsBetween(W.unboundedPreceding, -1)))
@@ -118,7 +118,7 @@ def draw(allocation: DataFrame, members: DataFrame, seed: int = 0) -> DataFrame:
     quotas = allocation.groupBy("config_name", "node").agg(F.min("node_id").alias("node_id"), F.sum("quota").alias("quota")).where("quota > 0")
     return (
         permuted_rank(members, seed)
-        .join(quotas, "node")
+        .join(listed(quotas), "node")
         .withColumn("copies", F.expr("int(quota div n + if(rank < quota % n, 1, 0))"))
         .where("copies > 0")
         .select("config_name", "sample_key", "node_id", "copies")
