@@ -100,11 +100,21 @@ def pairwise_accuracy(rows: DataFrame, chosen: str, rejected: str) -> DataFrame:
     return rows.agg(F.avg(F.when(c != r, (c > r).cast("double"))).alias("accuracy"), F.count_if(c == r).alias("ties"))
 
 
-def rolling_mean(rows: DataFrame, order: str, value: str, window: int = 100, partition: str | None = None) -> DataFrame:
-    """Adds rolling: mean of the last `window` values, null until there are so many. A series is one ordered thing: many
-    series run side by side by `partition`; a single one is a log of bounded length."""
-    w = (W.partitionBy(partition) if partition else W.partitionBy(F.lit(0))).orderBy(order).rowsBetween(1 - window, 0)
-    return rows.withColumn("rolling", F.when(F.count(F.lit(1)).over(w) == window, F.avg(value).over(w)))
+def rolling_mean(rows: DataFrame, order: str, value: str, window: int = 100, block: int = 50_000) -> DataFrame:
+    """Adds rolling: mean of the last `window` values in order, null until there are so many.
+
+    Rows get their global place first; then each block of places is one window, with the rows just before it as a margin, so
+    that a series of any length is averaged in parallel. The order must be total.
+    """
+    from .sampling import ranked
+
+    placed = ranked(rows, order, name="_place")
+    own = F.floor(F.col("_place") / block)
+    last = (own + 1) * block - F.col("_place") < window  # also needed by the next block
+    spread = placed.withColumn("_block", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("_own", F.col("_block") == own)
+    w = W.partitionBy("_block").orderBy("_place").rowsBetween(1 - window, 0)
+    mean = F.when(F.count(F.lit(1)).over(w) == window, F.avg(value).over(w))
+    return spread.withColumn("rolling", mean).where("_own").drop("_place", "_block", "_own")
 
 
 def nucleus(rows: DataFrame, group: str, token: str, logit: str, top_k: int = 0, top_p: float = 1.0) -> DataFrame:

@@ -438,16 +438,16 @@ def pack_best_fit(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_best_fit(rows, 512)
 
 
-@query(f"with {_TOK}, b as (select doc_id, tokens[1:64] t, doc_id//16 batch from t), w as (select batch, ((max(len(t))+7)//8)*8 n from b group by 1) select doc_id, n::int as width, (n-len(t))::int as padding, {_SUM.format(x='t')} as digest from b join w using(batch)")
+@query(f"with {_TOK}, b as (select doc_id, tokens t, doc_id//16 batch from t), w as (select batch, ((max(len(t))+7)//8)*8 n from b group by 1) select doc_id, n::int as width, (n-len(t))::int as padding, {_SUM.format(x='t')} as digest from b join w using(batch)")
 def pad_batches(spark: SparkSession, d: str) -> DataFrame:
-    rows = _tokens(spark, d).select("doc_id", sequences.truncate(F.col("tokens"), 64).alias("t"), F.expr("doc_id div 16").alias("batch"))
+    rows = _tokens(spark, d).select("doc_id", F.col("tokens").alias("t"), F.expr("doc_id div 16").alias("batch"))
     out = packing.pad_batches(rows, "batch", "t", multiple=8)
     return out.select("doc_id", F.size("t").alias("width"), F.size(F.filter("t_mask", lambda m: m == 0)).alias("padding"), _digest("t").alias("digest"))
 
 
-@query(f"with {_TOK}, s as (select doc_id, tokens[1:40] p, tokens[41:60] c from t) select doc_id, (len(p)+len(c))::int as n, len(c)::int as ones, {_SUM.format(x='list_concat(list_transform(p, lambda v: -100), c)')} as label_digest from s")
+@query(f"with {_TOK}, s as (select doc_id, tokens[1:len(tokens)//3] p, tokens[len(tokens)//3+1:] c from t) select doc_id, (len(p)+len(c))::int as n, len(c)::int as ones, {_SUM.format(x='list_concat(list_transform(p, lambda v: -100), c)')} as label_digest from s")
 def completion_labels(spark: SparkSession, d: str) -> DataFrame:
-    rows = _tokens(spark, d).select("doc_id", F.slice("tokens", 1, 40).alias("p"), F.slice("tokens", 41, 20).alias("c"))
+    rows = _tokens(spark, d).select("doc_id", F.expr("slice(tokens, 1, int(size(tokens) div 3))").alias("p"), F.expr("slice(tokens, int(size(tokens) div 3) + 1, size(tokens))").alias("c"))
     mask = sequences.completion_mask(F.col("p"), F.col("c"))
     return rows.select("doc_id", F.size(mask).alias("n"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("ones"), _digest(sequences.labels(F.concat("p", "c"), mask)).alias("label_digest"))
 
@@ -458,9 +458,9 @@ def stop_truncation(spark: SparkSession, d: str) -> DataFrame:
     return _tokens(spark, d).select("doc_id", sequences.first_true(flags).alias("stop_at"), F.size(sequences.after_stop(F.col("tokens"), 13)).alias("kept"))
 
 
-@query(f"with {_TOK}, s as (select doc_id, tokens[1:30] t from t) select doc_id, len(list_filter(t, lambda v: v>4))::int as kept, {_SUM.format(x='list_filter(t, lambda v: v>4)')} as digest from s where len(list_filter(t, lambda v: v>4))>0")
+@query(f"with {_TOK}, s as (select doc_id, tokens t from t) select doc_id, len(list_filter(t, lambda v: v>4))::int as kept, {_SUM.format(x='list_filter(t, lambda v: v>4)')} as digest from s where len(list_filter(t, lambda v: v>4))>0")
 def flush_left(spark: SparkSession, d: str) -> DataFrame:
-    rows = _tokens(spark, d).select("doc_id", F.slice("tokens", 1, 30).alias("t")).withColumn("m", F.transform("t", lambda v: (v > 4).cast("int")))
+    rows = _tokens(spark, d).select("doc_id", F.col("tokens").alias("t")).withColumn("m", F.transform("t", lambda v: (v > 4).cast("int")))
     out = rows.select("doc_id", F.aggregate("m", F.lit(0), lambda a, x: a + x).alias("kept"), _digest(sequences.flushed(F.col("t"), F.col("m"))).alias("digest"))
     return out.where("kept > 0")
 
@@ -495,15 +495,15 @@ def flat_groups(spark: SparkSession, d: str) -> DataFrame:
     return advantages.flat_groups(rows, "g", "v")
 
 
-@query("""with recursive o as (select user_id, value, row_number() over (partition by user_id order by event_id) t, count(*) over (partition by user_id) n from events qualify t<=20),
- x as (select a.user_id, a.t, least(20,a.n) n, a.value r, a.value/2 v, coalesce(lead(a.value/2) over (partition by a.user_id order by a.t),0) vn from o a),
- g as (select user_id, t, r+0.99*vn-v adv from x where t=n union all select x.user_id, x.t, x.r+0.99*x.vn-x.v+0.99*0.95*g.adv from x join g on x.user_id=g.user_id and x.t=g.t-1)
- select user_id, t::int as t, round(adv,9) as advantage from g""")
+@query("""with recursive o as (select user_id, event_id//500 episode, value, row_number() over w t, count(*) over (partition by user_id, event_id//500) n from events window w as (partition by user_id, event_id//500 order by event_id)),
+ x as (select user_id, episode, t, n, value r, value/7 v, coalesce(lead(value/7) over (partition by user_id, episode order by t),0) vn from o),
+ g as (select user_id, episode, t, r+0.99*vn-v adv from x where t=n union all select x.user_id, x.episode, x.t, x.r+0.99*x.vn-x.v+0.99*0.95*g.adv from x join g on x.user_id=g.user_id and x.episode=g.episode and x.t=g.t-1)
+ select user_id, episode, t::int as t, round(adv,6) as advantage from g""")
 def gae(spark: SparkSession, d: str) -> DataFrame:
-    steps = _events(spark, d).groupBy("user_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("event_id", "value"))), 1, 20).alias("s"))
-    r, v = F.transform("s", lambda x: x["value"]), F.transform("s", lambda x: x["value"] / 2)
-    out = steps.select("user_id", F.posexplode(sequences.gae(r, v, 0.99, 0.95)).alias("t", "advantage"))
-    return out.select("user_id", (F.col("t") + 1).alias("t"), _r("advantage", 9).alias("advantage"))
+    steps = _events(spark, d).groupBy("user_id", F.expr("event_id div 500").alias("episode")).agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("s"))
+    r, v = F.transform("s", lambda x: x["value"]), F.transform("s", lambda x: x["value"] / 7)
+    out = steps.select("user_id", "episode", F.posexplode(sequences.gae(r, v, 0.99, 0.95)).alias("t", "advantage"))
+    return out.select("user_id", "episode", (F.col("t") + 1).alias("t"), _r("advantage").alias("advantage"))
 
 
 @query("""with s as (select event_id//500 step, count(value) c, sum(value) s, sum(value*value) q from events group by 1)
@@ -522,9 +522,9 @@ def prompt_tracker(spark: SparkSession, d: str) -> DataFrame:
     return statistics.tracked_advantages(rows, "user_id", "step", "value", "event_id", 32, 16).select("event_id", _r("advantage", 5).alias("advantage"))
 
 
-@query("select event_type, event_id, case when count(*) over w=100 then round(avg(value) over w,6) end as rolling from events window w as (partition by event_type order by event_id rows between 99 preceding and current row)")
+@query("select event_id, case when count(*) over w=100 then round(avg(value) over w,6) end as rolling from events window w as (order by event_id rows between 99 preceding and current row)")
 def rolling_mean(spark: SparkSession, d: str) -> DataFrame:
-    return advantages.rolling_mean(_events(spark, d), "event_id", "value", 100, "event_type").select("event_type", "event_id", _r("rolling").alias("rolling"))
+    return advantages.rolling_mean(_events(spark, d).select("event_id", "value"), "event_id", "value", 100).select("event_id", _r("rolling").alias("rolling"))
 
 
 @query("""select 'value' as reward, count(value)::bigint as n, round(avg(value),6) as mean, round(stddev_samp(value),6) as std, min(value) as least, max(value) as most, median(value) as median from events
@@ -572,12 +572,12 @@ def best_of_n(spark: SparkSession, d: str) -> DataFrame:
     return advantages.best_of(_events(spark, d).select("user_id", "event_id", "value"), "user_id", "value", "event_id")
 
 
-@query("""with g as (select user_id, event_id, value/50 z from events), k as (select * from g qualify rank() over (partition by user_id order by z desc)<=20),
- p as (select user_id, event_id, exp(z-max(z) over (partition by user_id)) e from k), q as (select *, e/sum(e) over (partition by user_id) pr from p),
- r as (select *, coalesce(sum(pr) over (partition by user_id order by pr desc, event_id rows between unbounded preceding and 1 preceding),0) b from q) select user_id, event_id, round(pr,8) as probability from r where b<=0.9""")
+@query("""with g as (select event_id//100 step, event_id, value/50 z from events), k as (select * from g qualify rank() over (partition by step order by z desc)<=20),
+ p as (select step, event_id, exp(z-max(z) over (partition by step)) e from k), q as (select *, e/sum(e) over (partition by step) pr from p),
+ r as (select *, coalesce(sum(pr) over (partition by step order by pr desc, event_id rows between unbounded preceding and 1 preceding),0) b from q) select step, event_id, round(pr,8) as probability from r where b<=0.9""")
 def nucleus_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = _events(spark, d).select("user_id", "event_id", (F.col("value") / 50).alias("z"))
-    return advantages.nucleus(rows, "user_id", "event_id", "z", 20, 0.9).select("user_id", "event_id", _r("probability", 8).alias("probability"))
+    rows = _events(spark, d).select(F.expr("event_id div 100").alias("step"), "event_id", (F.col("value") / 50).alias("z"))
+    return advantages.nucleus(rows, "step", "event_id", "z", 20, 0.9).select("step", "event_id", _r("probability", 8).alias("probability"))
 
 
 @query("with q as (select quantile_cont(value,0.8) q from events where event_type<>'error') select event_id, (event_type<>'error' and value>=q) as high from events, q")
@@ -667,7 +667,7 @@ def nearest_code(spark: SparkSession, d: str) -> DataFrame:
     import numpy as np
 
     vecs = table(spark, d, "embeddings")
-    book = np.array([r.centroid for r in vectors.centroids(vecs, "label", "embedding").orderBy("label").limit(65536).collect()])
+    book = np.array([r.centroid for r in vectors.centroids(vecs, "label", "embedding").orderBy("label").collect()])  # one row per label of a fixed set
     return vectors.nearest_code(vecs, "vec_id", "embedding", book).withColumn("distance", _r("distance", 5))
 
 

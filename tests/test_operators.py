@@ -238,6 +238,13 @@ def test_advantages(spark):
     assert best == {"a": 2, "b": 0, "c": 0}
 
 
+def test_rolling_mean_over_blocks(spark):
+    xs = [float(i * i % 17) for i in range(95)]
+    df = spark.createDataFrame(list(enumerate(xs)), "i int, v double")
+    got = {r.i: r.rolling for r in advantages.rolling_mean(df, "i", "v", 10, block=20).collect()}
+    assert got == {i: pytest.approx(sum(xs[i - 9 : i + 1]) / 10) if i >= 9 else None for i in range(95)}
+
+
 def test_judging(spark):
     df = spark.createDataFrame([([1, 1],), ([1, 0],), ([1, -1],)], "v array<int>")
     assert [r.x for r in df.select(judging.all_true(F.col("v")).alias("x")).collect()] == [1, 0, -1]
