@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..context import cut
+from ..context import cut, listed
 from .components import connected_components
 from .words import words
 
@@ -201,18 +201,22 @@ def similar_classes(classes: DataFrame, p: NearDuplicates) -> DataFrame:
     """(a, b, similarity), a < b: pairs of class representatives at or above the threshold."""
     signed = cut(classes.select("rep", "shingles").mapInArrow(_sign(p), "rep long, keys array<long>, sketch array<long>"))
     keyed = signed.select("rep", F.explode("keys").alias("key"))
-    # most keys are of one class: they end here, in an aggregate that combines before the shuffle and carries no more than a count
-    buckets = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = cut(keyed.join(buckets, "key"))
+    # most keys are of one class and end here, and those of two or three classes are told in full by what one aggregate keeps
+    buckets = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor("rep").alias("x")).where("n > 1"))
+    third = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
+    pair = lambda one, two: F.struct(one.alias("a"), two.alias("b"))
+    lo, hi = F.col("lo"), F.col("hi")
+    told = F.when(F.col("n") == 2, F.array(pair(lo, hi))).otherwise(F.array(pair(lo, hi), pair(lo, third), pair(third, hi)))
+    small_buckets = buckets.where("n <= 3").select(F.explode(told).alias("p")).select("p.a", "p.b")
+    members = cut(keyed.join(listed(buckets.where("n > 3").select("key", "n"), 1_000_000), "key"))
     few = members.where(F.col("n") <= p.hot_bucket).select("key", "rep")
-    bits = [f"s{k}" for k in range(p.sketch)]
-    sketches = signed.join(few.select("rep").distinct(), "rep", "left_semi").select("rep", *[F.get("sketch", F.lit(k)).alias(c) for k, c in enumerate(bits)])
-    known = few.join(sketches, "rep")
-    other = known.select("key", F.col("rep").alias("b"), *[F.col(c).alias(f"{c}b") for c in bits])
-    unequal = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}b"))) for c in bits), F.lit(0))
-    paired = known.withColumnRenamed("rep", "a").join(other, "key").where((F.col("a") < F.col("b")) & (unequal <= p.most_unequal)).select("a", "b")
+    large_buckets = few.withColumnRenamed("rep", "a").join(few.withColumnRenamed("rep", "b"), "key").where("a < b").select("a", "b")
+    pairs = small_buckets.unionByName(large_buckets).distinct()
+    bits = lambda side: signed.select(F.col("rep").alias(side), F.col("sketch").alias(f"bits_{side}"))
+    unequal = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(p.sketch)), F.lit(0))
+    likely = pairs.join(bits("a"), "a").join(bits("b"), "b").where(unequal <= p.most_unequal).select("a", "b")
     hot = members.where(F.col("n") > p.hot_bucket)
-    candidates = paired.unionByName(_hot_pairs(hot, classes, p)).distinct()
+    candidates = likely.unionByName(_hot_pairs(hot, classes, p)).distinct()
     # sets no larger than the threshold allows the pair to differ; then the sets themselves
     left = classes.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     right = classes.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
