@@ -233,7 +233,6 @@ def near_duplicate_pairs(texts: DataFrame, id_column: str, text: str, p: NearDup
     Ids must be unique; null ids and texts give no row. Ties don't matter: all pairs at the threshold are in.
     """
     members, classes = shingle_classes(texts, id_column, text, p)
-    classes = cut(classes)
     members = cut(members)
     links = similar_classes(classes, p)
     copies = classes.select("rep", "copies")
@@ -257,7 +256,6 @@ def near_duplicate_groups(texts: DataFrame, id_column: str, text: str, p: NearDu
     """(id, group_id, class_id, links) of every text with a near-duplicate or copy: group is the connected component, class
     the set of copies, both named by their least id; links is the number of other classes that are similar to its own."""
     members, classes = shingle_classes(texts, id_column, text, p)
-    classes = cut(classes)
     links = cut(similar_classes(classes, p))
     parts = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
