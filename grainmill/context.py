@@ -44,6 +44,15 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if planned_bytes(df) <= limit else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table whose files make fewer tasks than there are cores, dealt out to all of them; a larger one as it is.
+
+    For plain scans ahead of costly Python work: of other plans the number of tasks isn't known before they run.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def listed(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """Materialise a table that should be small, count it, and hint a broadcast if it is."""
     kept = cut(df)

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..context import small
+from ..context import cut, small
 from ..functions.hashing import draw_of, priority
 from ..plans.filter_language import where
 
@@ -79,7 +79,8 @@ def membership_hash(members: DataFrame, line: Column, *order: str) -> str:
     Rows are sorted by the cluster and stream through the driver; it holds one partition at a time.
     """
     digest = hashlib.sha256()
-    for (text,) in members.orderBy(*order).select(line.cast("string")).toLocalIterator(prefetchPartitions=True):
+    once = cut(members.select(line.cast("string").alias("_line"), *order))  # sorting reads its input twice
+    for (text,) in once.orderBy(*order).select("_line").toLocalIterator(prefetchPartitions=True):
         digest.update(text.encode() + b"\n")
     return digest.hexdigest()[:16]
 
