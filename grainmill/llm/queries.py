@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..context import cut, table
+from ..context import cut, spread, table
 from . import containers, leakage, neardup, quota, spam, terms, truncation
 from .messages import distinct_messages
 from .sql import SQL
@@ -81,8 +81,12 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_rates(_truncated(spark, folder))
 
 
+def _documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text", *columns).where("doc_id is not null"))
+
+
 def _sizes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    documents = table(spark, folder, "documents").where("doc_id is not null")
+    documents = _documents(spark, folder, "source")
     specs = table(spark, folder, "pack_specs").select(F.col("source").alias("grp"), F.col("max_tokens").alias("capacity"))
     return containers.token_counts(documents, "doc_id", "text", VOCABULARY, "source"), specs
 
@@ -97,7 +101,7 @@ def p5_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "item_text")
+    return leakage.leaks(_documents(spark, folder), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "item_text")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,7 +117,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return spam.spam_scores(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return spam.spam_scores(_documents(spark, folder), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
