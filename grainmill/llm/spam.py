@@ -58,9 +58,20 @@ class Salad:
     broadcast_ids: int = 1_000_000
 
 
+#: Attributes whose values are words of a page, as addresses and hidden keywords are; formatting isn't.
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+_SAYS = re.compile(r"(?i)\b(?:href|src|content|alt|title)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+
+
+def _said(tag: re.Match) -> str:
+    return f" {' '.join(_SAYS.findall(tag.group()))} " if "=" in tag.group() else ""
+
+
 def clean(text: str) -> str:
-    """Character references resolved, compatibility forms unified, invisible characters dropped. Mark-up stays: its words
-    are words of the page."""
+    """Tags replaced by what they say, character references resolved, compatibility forms unified, invisible characters
+    dropped. Formatting within a sentence would else part words that belong together."""
+    if "<" in text:
+        text = _TAG.sub(_said, text)
     if "&" in text:
         text = html.unescape(text)
     return text if text.isascii() else _FORMAT.sub("", unicodedata.normalize("NFKC", text))
@@ -166,8 +177,9 @@ def _judge(p: Salad, model):
         least = max(float(p.least), p.established * texts)
 
         def count(x: np.ndarray, kind: int) -> np.ndarray:
-            rows = [sketch[k][_cells(x, row, bits)] for k, (of, row, bits) in enumerate(_layout(p)) if of == kind]
-            return np.minimum.reduce(rows)
+            """The least cell, less what an average cell holds of other entries; at least 1."""
+            rows = [sketch[k][_cells(x, row, bits)] - total / (1 << bits) for k, (of, row, bits) in enumerate(_layout(p)) if of == kind]
+            return np.maximum(np.minimum.reduce(rows), 1.0)
 
         for batch in batches:
             ids, out = [], []
