@@ -362,6 +362,11 @@ def test_edited_passages_are_found(spark):
 # spam
 
 
+def test_spam_cleaning():
+    assert words(spam.clean('a <em>b</em><i class="q">c</i> <meta name="keywords" content="red cup"> <a href=\'x.test/y\'>z</a> &amp; d\u200be')) == "a b c red cup x test y z de".split()
+    assert spam.clean("1 < 2 and 3 > 2") == "1 < 2 and 3 > 2"
+
+
 def test_spam(spark):
     rng = random.Random(11)
     glue = ["the", "of", "and", "to", "in", "is", "was", "on", "for", "with"]
