@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..context import small
+from ..context import listed
 
 #: A limit needs so many texts at it, and so many times the texts that lengths nearby have.
 LEAST_AT_LIMIT, SPIKE = 10, 6.0
@@ -50,19 +51,47 @@ def lengths(text: Column) -> dict[str, Column]:
     }
 
 
+def _independent(table: pa.Table) -> pa.Table:
+    """The spikes of one source that explain texts of their own: the one with most texts, then the one with most of the
+    texts that are left, as long as these alone still are a spike."""
+    left = [(r["n"], {(s["measure"], s["limit"]): s for s in r["at"]}) for r in table.to_pylist()]
+    kept = []
+    while True:
+        exact, counted, facts = Counter(), Counter(), {}
+        for n, at in left:
+            for k, s in at.items():
+                exact[k] += n if s["short"] == 0 else 0
+                counted[k] += n if s["short"] <= s["early"] else 0
+                facts[k] = s
+        spikes = [(counted[k], -facts[k]["rank"], *k) for k, n in exact.items() if n >= max(LEAST_AT_LIMIT, SPIKE * facts[k]["around"])]
+        if not spikes:
+            break
+        texts, _, *best = max(spikes)
+        kept.append((*best, texts))
+        left = [(n, at) for n, at in left if tuple(best) not in at]
+    columns = [pa.array([x[k] for x in kept], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+    return pa.Table.from_arrays([pa.array([table.column("source")[0].as_py()] * len(kept), pa.string()), *columns], names=["source", "measure", "limit", "at_limit"])
+
+
+def _slack(measure: Column) -> Column:
+    return F.when(measure.endswith("utf8"), F.lit(SLACK)).otherwise(F.lit(0))
+
+
 def storage_limits(texts: DataFrame, source: str, text: str) -> DataFrame:
-    """(source, measure, limit, at_limit): at most one row per source, the measure with most texts at the spike.
+    """(source, measure, limit, at_limit): every independent spike of a source, with its number of distinct texts.
 
-    A spike is a length shared by LEAST_AT_LIMIT texts, by SPIKE times as many as a length within 40 on either side has on
-    average, in a measure of at least 40 texts of this length or more. Counting combines on the map side; what the window
-    sees is one row per distinct length.
+    A spike is a length shared by LEAST_AT_LIMIT distinct texts, by SPIKE times as many as a length within 40 on either side
+    has on average. Copies count once, so that a repeated text is no limit. Of measures that explain the same texts the one
+    with most texts is kept; what the others hold beyond these must be a spike in itself. Counting combines on the map side;
+    what the window sees is one row per distinct length.
     """
+    named = lengths(F.col(text))
     measured = texts.where(F.col(text).isNotNull()).select(
-        F.col(source).alias("source"), F.explode(F.create_map(*[x for k, c in lengths(F.col(text)).items() for x in (F.lit(k), c.cast("long"))])).alias("measure", "length")
-    )
-    counts = measured.groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("n"))
+        F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("hash"), *[c.cast("long").alias(k) for k, c in named.items()]
+    ).distinct()
+    measures = F.create_map(*[x for k in named for x in (F.lit(k), F.col(k))])
+    counts = measured.select("source", F.explode(measures).alias("measure", "length")).groupBy("source", "measure", "length").agg(F.count(F.lit(1)).alias("n"))
     near = W.partitionBy("source", "measure").orderBy("length")
-    words = F.col("measure") == "words"
     around = [
         F.coalesce(F.sum("n").over(near.rangeBetween(lo, hi)), F.lit(0)) / (hi - lo + 1) for lo, hi in ((-40, -SLACK - 1), (SLACK + 1, 40), (-12, -2), (2, 12))
     ]
@@ -71,17 +100,20 @@ def storage_limits(texts: DataFrame, source: str, text: str) -> DataFrame:
         .withColumn("wide", F.greatest(around[0], around[1]))
         .withColumn("tight", F.greatest(around[2], around[3]))
         .withColumn("below", F.sum("n").over(near.rangeBetween(-SLACK, 0)))
-        .where(F.col("n") >= LEAST_AT_LIMIT)
-        .where(F.col("n") >= SPIKE * F.when(words, F.col("tight")).otherwise(F.col("wide")))
+        .withColumn("around", F.when(F.col("measure") == "words", F.col("tight")).otherwise(F.col("wide")))
+        .where((F.col("n") >= LEAST_AT_LIMIT) & (F.col("n") >= SPIKE * F.col("around")))
     )
-    order = {k: i for i, k in enumerate(lengths(F.lit("")))}
-    rank = F.create_map(*[x for k, i in order.items() for x in (F.lit(k), F.lit(i))])[F.col("measure")]
+    rank = F.create_map(*[x for i, k in enumerate(named) for x in (F.lit(k), F.lit(i))])[F.col("measure")]
     # a byte limit is told from a character limit by the texts just below it, if they are more than chance puts there
     early = F.col("below") - F.col("n") - SLACK * F.col("wide")
     cut_early = F.col("measure").endswith("utf8") & (early > F.greatest(F.lit(3.0), 0.1 * F.col("n")))
-    at_limit = F.when(cut_early, F.col("below")).otherwise(F.col("n"))
-    best = spiked.groupBy("source").agg(F.max(F.struct(at_limit.alias("at_limit"), (-rank).alias("r"), "measure", F.col("length").alias("limit"))).alias("b"))
-    return best.select("source", "b.measure", "b.limit", "b.at_limit")
+    spike = F.struct("measure", F.col("length").alias("limit"), rank.alias("rank"), "around", F.when(cut_early, F.lit(SLACK)).otherwise(F.lit(0)).alias("early"))
+    spikes = listed(spiked.groupBy(F.col("source").alias("spiked")).agg(F.sort_array(F.collect_list(spike)).alias("spikes")))
+    short = lambda s: s["limit"] - F.element_at(measures, s["measure"])
+    reached = F.filter("spikes", lambda s: short(s).between(F.lit(0), _slack(s["measure"])))
+    at = measured.join(spikes, F.col("source").eqNullSafe(F.col("spiked"))).select("source", F.transform(reached, lambda s: s.withField("short", short(s))).alias("at"))
+    sets = at.where(F.size("at") > 0).groupBy("source", "at").agg(F.count(F.lit(1)).alias("n"))
+    return sets.groupBy("source").applyInArrow(_independent, "source string, measure string, limit long, at_limit long")
 
 
 _BROKEN = re.compile(r"(?:&#?[A-Za-z0-9]{0,7}|</?[A-Za-z][^<>\n]{0,40}|<|\\|\\u[0-9a-fA-F]{0,3}|%[0-9A-Fa-f]?|[�\ud800-\udfff]+)$")
@@ -155,6 +187,7 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def truncated(texts: DataFrame, id_column: str, source: str, text: str) -> DataFrame:
     """(id, source, measure, limit, at_limit, ending, truncated) of every row with an id and a text.
 
+    measure and limit are those of the limit a text is at, else those of the limit of its source with most texts.
     Null sources form a group of their own, which has its own limits. Null texts have nothing that could be cut and give no
     row. At a limit any end that isn't whole counts; elsewhere a cut end (broken, marker, open, stops), or an ellipsis
     after at least twelve words.
@@ -165,11 +198,13 @@ def truncated(texts: DataFrame, id_column: str, source: str, text: str) -> DataF
     seen = rows.select(F.col(id_column).cast("long").alias("id"), F.col(source).alias("source"), measures.alias("measures"), F.col(text).alias("text")).mapInArrow(
         _endings, "id long, source string, measures map<string,bigint>, ending string, n_words int"
     )
-    limits = limits.withColumnRenamed("source", "limited")
-    joined = seen.join(small(limits), F.col("source").eqNullSafe(F.col("limited")), "left")
-    length = F.element_at("measures", F.col("measure"))
-    slack = F.when(F.col("measure").endswith("utf8"), F.lit(SLACK)).otherwise(F.lit(0))
-    at = F.coalesce(length.between(F.col("limit") - slack, F.col("limit")), F.lit(False))
+    limit = F.struct((-F.col("at_limit")).alias("order"), "measure", "limit")
+    limits = listed(limits.groupBy(F.col("source").alias("limited")).agg(F.sort_array(F.collect_list(limit)).alias("limits")))
+    joined = seen.join(limits, F.col("source").eqNullSafe(F.col("limited")), "left")
+    reached = F.filter("limits", lambda x: F.element_at("measures", x["measure"]).between(x["limit"] - _slack(x["measure"]), x["limit"]))
+    shown = F.coalesce(F.get(reached, F.lit(0)), F.get("limits", F.lit(0)))
+    joined = joined.withColumn("shown", shown).withColumns({"measure": F.col("shown.measure"), "limit": F.col("shown.limit")})
+    at = F.coalesce(F.size(reached) > 0, F.lit(False))
     shows = F.col("ending").isin("broken", "marker", "open", "stops") | ((F.col("ending") == "ellipsis") & (F.col("n_words") >= 12))
     return joined.withColumn("at_limit", at).select(
         "id", "source", "measure", "limit", "at_limit", "ending", ((F.col("at_limit") & (F.col("ending") != "whole")) | shows).alias("truncated")
@@ -177,7 +212,8 @@ def truncated(texts: DataFrame, id_column: str, source: str, text: str) -> DataF
 
 
 def truncation_rates(found: DataFrame) -> DataFrame:
-    """(source, texts, cut, rate, measure, limit) of the rows of truncated()."""
-    return found.groupBy("source").agg(
-        F.count(F.lit(1)).alias("texts"), F.count_if("truncated").alias("cut"), F.round(F.avg(F.col("truncated").cast("double")), 6).alias("rate"), F.max("measure").alias("measure"), F.max("limit").alias("limit")
+    """(source, texts, cut, rate, measure, limit) of the rows of truncated(); of several limits the one most rows show."""
+    parts = found.groupBy("source", "measure", "limit").agg(F.count(F.lit(1)).alias("n"), F.count_if("truncated").alias("c"))
+    return parts.groupBy("source").agg(
+        F.sum("n").alias("texts"), F.sum("c").alias("cut"), F.round(F.sum("c") / F.sum("n"), 6).alias("rate"), F.max_by("measure", "n").alias("measure"), F.max_by("limit", "n").alias("limit")
     )

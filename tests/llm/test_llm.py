@@ -239,6 +239,26 @@ def test_limits_and_rates(spark):
     assert truncation.truncated(df.limit(0), "id", "source", "text").count() == 0
 
 
+def test_copies_are_no_limit_and_every_limit_counts(spark):
+    rng = random.Random(16)
+    line = lambda n: "".join(rng.choices("abcdefg hijk ", k=n - 2)) + "xx"
+    rows = [(i, "copied", line(rng.randint(30, 400))) for i in range(200)]
+    rows += [(1000 + i, "copied", line(250)) for i in range(40)]
+    rows += [(2000 + i, "copied", "a caption that many messages have in common") for i in range(500)]
+    rows += [(3000 + i, "widened", line(rng.randint(30, 400))) for i in range(200)]
+    rows += [(4000 + i, "widened", line(150)) for i in range(60)] + [(5000 + i, "widened", line(300)) for i in range(30)]
+    rows += [(6000 + i, "widened", " ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 9))) for _ in range(100))) for i in range(25)]
+    df = spark.createDataFrame(rows, "id long, source string, text string")
+    limits = {(r.source, r.measure, r.limit) for r in truncation.storage_limits(df, "source", "text").collect()}
+    assert limits == {("copied", "characters", 250), ("widened", "characters", 150), ("widened", "characters", 300), ("widened", "words", 100)}
+    found = {r.id: r for r in truncation.truncated(df, "id", "source", "text").collect()}
+    assert len(found) == len(rows)
+    assert all(found[i].truncated for i in found if 1000 <= i < 2000 or i >= 4000) and not any(found[i].truncated for i in found if 2000 <= i < 3000)
+    assert found[5000].limit == 300 and found[6000].measure == "words"
+    rates = {r.source: r for r in truncation.truncation_rates(truncation.truncated(df, "id", "source", "text")).collect()}
+    assert rates["copied"].texts == 740 and (rates["widened"].measure, rates["widened"].limit) == ("characters", 150)
+
+
 # containers
 
 
