@@ -42,8 +42,10 @@ class NearDuplicates:
     seed: int = 20240229
     #: A bucket of more classes than this is keyed again rather than paired.
     hot_bucket: int = 64
-    #: Copies of one text, or two classes, are written out pair by pair up to so many pairs; beyond that as a star.
+    #: Byte-equal copies of one text are written out pair by pair up to so many pairs; beyond that as a star.
     expand_pairs: int = 4096
+    #: Members of a class, or texts of one, that a task joins at a time.
+    salted: int = 2048
     #: Minima of which one bit is kept for the signature check, in words of 64 bits.
     checked: int = 256
 
@@ -88,7 +90,7 @@ def _shingle_sets(p: NearDuplicates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            ids, sets, keys = [], [], []
+            ids, sets, keys, same = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = words(text)
                 if len(w) >= max(1, p.least_words):
@@ -96,10 +98,11 @@ def _shingle_sets(p: NearDuplicates):
                     ids.append(i)
                     sets.append(s)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    same.append(xxhash.xxh3_64_intdigest(text.encode(errors="surrogatepass")) - (1 << 63))
             if ids:
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                arrays = [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "key", "shingles"])
+                arrays = [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets))), pa.array(same, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "key", "shingles", "same"])
 
     return run
 
@@ -161,19 +164,20 @@ def _exact(p: NearDuplicates):
 
 
 def shingle_classes(texts: DataFrame, id_column: str, text: str, p: NearDuplicates) -> tuple[DataFrame, DataFrame]:
-    """(members: id, rep) and (classes: rep, shingles, copies); a class holds the texts of one shingle set.
+    """(members: id, rep, same) and (classes: rep, shingles, copies); a class holds the texts of one shingle set, those of
+    equal `same` are equal byte by byte.
 
     Null texts and texts below `least_words` are in no class. Sizes are aggregated on the map side, so that a third of all
     rows may be one text.
     """
     sets = texts.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).cast("long"), F.col(text)).mapInArrow(
-        _shingle_sets(p), "id long, key binary, shingles array<long>"
+        _shingle_sets(p), "id long, key binary, shingles array<long>, same long"
     )
     sets = cut(sets)
     classes = sets.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("shingles", "id").alias("shingles"))
     classes = cut(classes)
     # a class of one is its own member: only copies need the join
-    members = sets.select("id", "key").join(classes.where("copies > 1").select("key", "rep"), "key", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    members = sets.select("id", "key", "same").join(classes.where("copies > 1").select("key", "rep"), "key", "left").select("id", F.coalesce("rep", "id").alias("rep"), "same")
     return members, classes.select("rep", "shingles", "copies")
 
 
@@ -224,32 +228,50 @@ def similar_classes(classes: DataFrame, p: NearDuplicates) -> DataFrame:
     return sized.select("a", "b", "sa", "sb").mapInArrow(_exact(p), "a long, b long, similarity double")
 
 
+def _spread(links: DataFrame, groups: DataFrame, p: NearDuplicates) -> DataFrame:
+    """(a, b, similarity) of all members of linked groups: links (a, b, na, nb, similarity) name groups and their sizes, groups
+    (grp, size, id) the members of groups of more than one; one of one is its own member. Large groups are salted."""
+    salts = lambda n: F.ceil(F.col(n) / p.salted).cast("int")
+    held = groups.select("grp", F.pmod(F.xxhash64("id"), salts("size")).cast("int").alias("salt"), "id")
+    for side in ("a", "b"):
+        salted = links.withColumn("salt", F.explode(F.sequence(F.lit(0), salts(f"n{side}") - 1)))
+        met = salted.join(held.withColumnsRenamed({"grp": side, "id": "member"}), [side, "salt"], "left").where(F.col("member").isNotNull() | (F.col(f"n{side}") == 1))
+        links = met.withColumn(side, F.coalesce("member", side)).drop("member", "salt")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+
+
 def near_duplicate_pairs(texts: DataFrame, id_column: str, text: str, p: NearDuplicates = NearDuplicates()) -> DataFrame:
     """(a, b, similarity), a < b, of texts at or above the threshold.
 
-    Copies (equal shingle sets) and pairs of classes are written out in full while they stay under `expand_pairs` pairs;
-    a larger class of copies is a star around its representative, and two classes whose product is larger are linked by
-    their representatives: with the star, no link between different texts is lost and the output stays linear in the rows.
+    All pairs of different texts are written out, be they of one class (equal shingle sets) or of two. Byte-equal copies of
+    one text are written out in full while they stay under `expand_pairs` pairs; more of them are a star around the least id.
     Ids must be unique; null ids and texts give no row. Ties don't matter: all pairs at the threshold are in.
     """
     members, classes = shingle_classes(texts, id_column, text, p)
     members = cut(members)
     links = similar_classes(classes, p)
     copies = classes.select("rep", "copies")
-    many = members.join(copies.where("copies > 1"), "rep")
-    bounded = many.where(F.col("copies") * F.col("copies") <= p.expand_pairs)
-    within = bounded.select("rep", F.col("id").alias("a")).join(bounded.select("rep", F.col("id").alias("b")), "rep").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
-    star = many.where((F.col("copies") * F.col("copies") > p.expand_pairs) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    many = cut(members.join(copies.where("copies > 1"), "rep"))
+    # the byte-equal copies of a class, named by their least id
+    equal = many.groupBy("rep", "same").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
+    equal = cut(equal)
+    copied = many.select("rep", "same", "id").join(equal.where("size > 1"), ["rep", "same"]).select(F.col("first").alias("grp"), "size", "id")
+    copied = cut(copied)
+    bounded = copied.where(F.col("size") * F.col("size") <= p.expand_pairs)
+    within = bounded.select("grp", F.col("id").alias("a")).join(bounded.select("grp", F.col("id").alias("b")), "grp").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    star = copied.where((F.col("size") * F.col("size") > p.expand_pairs) & (F.col("id") != F.col("grp"))).select(F.col("grp").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    # different texts of a class: first the texts, each named by its first, then their copies
+    several = equal.groupBy("rep").agg(F.count(F.lit(1)).alias("na")).where("na > 1")
+    of_class = equal.join(several, "rep").select(F.col("rep").alias("grp"), F.col("na").alias("size"), F.col("first").alias("id"))
+    own = several.select(F.col("rep").alias("a"), F.col("rep").alias("b"), "na", F.col("na").alias("nb"), F.lit(1.0).alias("similarity"))
+    different = _spread(own, of_class, p).where("a < b").distinct()
+    size = lambda side: equal.select(F.col("first").alias(side), F.col("size").alias(f"n{side}"))
+    different = _spread(different.join(size("a"), "a").join(size("b"), "b"), copied, p)
     sized = links.join(copies.select(F.col("rep").alias("a"), F.col("copies").alias("na")), "a").join(copies.select(F.col("rep").alias("b"), F.col("copies").alias("nb")), "b")
     sized = cut(sized)
-    single = (F.col("na") * F.col("nb") == 1) | (F.col("na") * F.col("nb") > p.expand_pairs)
-    multi = sized.where(~single).select(F.col("a").alias("ra"), F.col("b").alias("rb"), "similarity")
-    spread = (
-        multi.join(members.select(F.col("rep").alias("ra"), F.col("id").alias("x")), "ra")
-        .join(members.select(F.col("rep").alias("rb"), F.col("id").alias("y")), "rb")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
-    )
-    return sized.where(single).select("a", "b", "similarity").unionByName(spread).unionByName(within).unionByName(star)
+    single = F.col("na") * F.col("nb") == 1
+    spread = _spread(sized.where(~single), many.select(F.col("rep").alias("grp"), F.col("copies").alias("size"), "id"), p)
+    return sized.where(single).select("a", "b", "similarity").unionByName(spread).unionByName(different).unionByName(within).unionByName(star)
 
 
 def near_duplicate_groups(texts: DataFrame, id_column: str, text: str, p: NearDuplicates = NearDuplicates()) -> DataFrame:

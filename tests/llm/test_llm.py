@@ -105,6 +105,22 @@ def test_hot_buckets_and_stars(spark, near_rows):
     assert groups(star) == groups(full)
 
 
+def test_large_classes_of_different_texts(spark):
+    import dataclasses
+
+    rng = random.Random(15)
+    base = sentence(rng, 50, 10**9).split()
+    variants = lambda w: [" ".join(w[:k]) + ", " + " ".join(w[k:]) for k in range(1, 36)] + [" ".join(w[:k]) + "! " + " ".join(w[k:]) for k in range(1, 36)]
+    near = variants(base) + variants(base[:20] + ["other"] + base[21:])
+    rows = list(enumerate([*near, *[near[0]] * 70]))
+    got = [(r.a, r.b) for r in neardup.near_duplicate_pairs(texts(spark, rows), "id", "text", Q.TURNS).collect()]
+    equal = (0, *range(140, 210))
+    want = {(a, b) for a in range(210) for b in range(a + 1, 210) if not {a, b} <= set(equal)} | {(0, b) for b in equal[1:]}
+    assert len(got) == len(set(got)) and set(got) == want
+    salted = neardup.near_duplicate_pairs(texts(spark, rows), "id", "text", dataclasses.replace(Q.TURNS, salted=16))
+    assert sorted((r.a, r.b) for r in salted.collect()) == sorted(want)
+
+
 def test_groups(spark, near_rows):
     pairs = brute_pairs(near_rows, Q.TURNS)
     parent = {}
