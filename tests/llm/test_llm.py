@@ -395,6 +395,27 @@ def test_edited_passages_are_found(spark):
     assert len(got & {(i, i) for i in range(100)}) >= 90
 
 
+@pytest.mark.parametrize("size, edits", [*((n, 1) for n in range(5, 13)), *((n, 2) for n in range(9, 13))])
+@pytest.mark.parametrize("kind", ["unknown", "known", "moved"])
+def test_recall_by_length_and_edits(size, edits, kind):
+    rng = np.random.default_rng(1)
+    n = 600
+    index = leakage.ItemIndex([(i, " ".join(f"v{x}" for x in rng.integers(0, 20000, size))) for i in range(n)], leakage.Leaks())
+    grid, _, _, members, _ = index.lengths[size]
+    runs = grid.copy()
+    for r in runs:
+        if kind == "moved" and edits == 2:  # a word out and a word in
+            w = np.delete(r, rng.integers(size))
+            r[:] = np.insert(w, rng.integers(size), 1)
+        else:
+            at = rng.choice(size, edits, replace=False)
+            r[at] = rng.integers(2, len(index.symbol) + 2, edits) if kind == "known" else 1
+    near = {(k, int(members[k][0])) for k in np.flatnonzero(leakage.edit_distance(runs, grid, edits) <= edits)}
+    assert len(near) > 0.99 * n
+    found = {(int(a) // size, int(b)) for pos, item, _ in index.find(runs.ravel(), np.repeat(np.arange(1, n + 1) * size, size)) for a, b in zip(pos, item)}
+    assert len(near & found) > 0.9 * len(near)
+
+
 # spam
 
 
