@@ -3,9 +3,10 @@
 Each test item is cut into windows of `window` words (its whole text, if it has fewer). The CGK random walk reads a window
 word by word and either stays or steps on, by a random bit of the step and the word it stands on; windows a few edits apart
 give outputs a few places apart, equal windows equal outputs. Keys made of some output places, over several walks, find
-windows within `edits` edits with the wanted recall, and equal windows always. What collides is checked by its edit
-distance. Documents' windows that share too few neighbouring word pairs with any item to be within so many edits (q-gram
-lemma) needn't walk.
+windows within `edits` edits with the wanted recall, and equal windows always: walks are added, for each length of window,
+until a simulation of such edits finds the wanted share. What collides is checked by its edit distance. Documents' windows
+that can't be within so many edits of any item needn't walk: those that share too few neighbouring word pairs with the
+items (q-gram lemma), or no run of words as long as the one that so many edits must leave intact.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import html
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,13 +35,18 @@ _U = np.uint64
 class Leaks:
     window: int = 12
     edits: int = 2
-    #: Enough for a recall above 0.9 at every item length and number of edits allowed; README has the figures.
+    #: Share of windows to be found at the most edits their length allows. README has measured figures.
+    recall: float = 0.98
+    #: Walks at least, and walks at most that the target may ask for.
     walks: int = 8
+    most_walks: int = 32
     samples: int = 6
     places: int = 5
     seed: int = 5
-    #: Items whose index is broadcast at a time; more items are taken in blocks, one pass over the documents each.
+    #: Items, and characters of them, whose index is broadcast at a time; more are taken in blocks, one pass over the
+    #: documents each. The characters bound the windows: an item of any length is whole in one block.
     block: int = 20_000
+    block_characters: int = 8_000_000
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -80,11 +86,13 @@ def cgk(symbols: np.ndarray, starts: np.ndarray, length: int, bits: np.ndarray,
 
 
 def edit_distance(one: np.ndarray, two: np.ndarray, most: int) -> np.ndarray:
-    """Row by row Levenshtein distance of two arrays of equal shape, `most + 1` where it is larger than `most`.
+    """Row by row Levenshtein distance of two arrays of equal shape, `most + 1` where it is larger than `most`."""
+    return _banded(np.ascontiguousarray(one.T), np.ascontiguousarray(two.T), most)
 
-    Only the band of the table that a distance up to `most` can touch is filled, a whole column of rows at a time.
-    """
-    one, two = np.ascontiguousarray(one.T), np.ascontiguousarray(two.T)
+
+def _banded(one: np.ndarray, two: np.ndarray, most: int) -> np.ndarray:
+    """edit_distance() of columns. Only the band of the table that a distance up to `most` can touch is filled, a whole place
+    of all columns at a time."""
     m, n = one.shape
     far = np.full(n, most + 1, np.int8)
     before = [np.full(n, min(j, most + 1), np.int8) for j in range(m + 1)]
@@ -99,6 +107,51 @@ def edit_distance(one: np.ndarray, two: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(before[m], most + 1).astype(np.int64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which for numbers is many times faster than hashing."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+class _Keys:
+    """Rows by their key: a table of bits that most absent keys fail, then distinct keys with the rows of each."""
+
+    def __init__(self, key: np.ndarray) -> None:
+        self.rows = np.argsort(key, kind="stable")
+        ordered = key[self.rows]
+        self.first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        self.known, self.count = ordered[self.first], np.diff(np.append(self.first, len(key)))
+        self.shift = _U(64 - max(10, min(22, int(len(key)).bit_length() + 5)))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.bits[(self.known >> self.shift).astype(np.int64)] = True
+
+    def __call__(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in `key`, row) of all that are equal."""
+        maybe = np.flatnonzero(self.bits[(key >> self.shift).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.known, key[maybe]), len(self.known) - 1)
+        hit = np.flatnonzero(self.known[at] == key[maybe])
+        at, many = at[hit], self.count[at[hit]]
+        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(maybe[hit], many), self.rows[np.repeat(self.first[at], many) + inside]
+
+
+def edited(windows: np.ndarray, edits: int, kind: str, symbols: int, rng: np.random.Generator) -> np.ndarray:
+    """Windows after edits at random places: words replaced by unknown or by known ones, or words out and as many in."""
+    out, n = windows.copy(), windows.shape[1]
+    for r in out:
+        if kind == "moved":
+            w = np.delete(r, rng.choice(n, edits // 2, replace=False))
+            r[:] = np.insert(w, rng.integers(len(w) + 1, size=edits // 2), 1)
+        else:
+            r[rng.choice(n, edits, replace=False)] = rng.integers(2, symbols, edits) if kind == "known" else 1
+    return out
+
+
+def bags(columns: Iterable[np.ndarray]) -> np.ndarray:
+    """The words of windows, given word by word, as sets of 64 bits."""
+    return np.bitwise_or.reduce([_U(1) << (_mix(c, 79) >> _U(58)) for c in columns])
+
+
 class ItemIndex:
     """Windows of a block of items by their keys. Words no item has are symbol 1, places past the end symbol 0."""
 
@@ -113,31 +166,70 @@ class ItemIndex:
                 holders[size][tuple(s[k : k + size])].add(i)
         n = len(self.symbol) + 2
         rng = np.random.Generator(np.random.PCG64(p.seed))
-        self.bits = [_mix(np.arange(n), int(rng.integers(1 << 62))) for _ in range(p.walks)]
+        self.bits = [_mix(np.arange(n), int(rng.integers(1 << 62))) for _ in range(p.most_walks)]
         self.lengths = {}
         for size, windows in sorted(holders.items()):
             grid = np.array(list(windows), np.int32).reshape(-1, size)
             steps = min(3 * size, 63)
             # places in the first two thirds of the walk: later ones are mostly past the end
-            draws = [[np.sort(rng.choice(max(1, 2 * steps // 3), min(p.places, 2 * steps // 3), replace=False)) for _ in range(p.samples)] for _ in range(p.walks)]
-            flat, starts = grid.ravel(), np.arange(len(grid)) * size
-            keys = []
-            for key in self.keys(flat, starts, size, draws):
-                order = np.argsort(key, kind="stable")
-                keys.append((key[order], order))
+            draws = [[np.sort(rng.choice(max(1, 2 * steps // 3), min(p.places, 2 * steps // 3), replace=False)) for _ in range(p.samples)] for _ in range(p.most_walks)]
+            draws = draws[: self.walks_for(size, draws)]
+            keys = [_Keys(key) for key in self.keys(self.bits, grid.ravel(), np.arange(len(grid)) * size, size, draws)]
             members = [np.array(sorted(x), np.int64) for x in windows.values()]
-            pair_table = np.zeros(1 << 20, bool)
+            pair_table, run_table = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
             if size > 1:
                 pair_table[self.pair_cell(grid[:, :-1].ravel(), grid[:, 1:].ravel())] = True
-            self.lengths[size] = (grid, draws, keys, members, pair_table)
+            run = self.intact(size)
+            run_table[self.run_cells(grid.ravel(), run)[(np.arange(len(grid)) * size)[:, None] + np.arange(size - run + 1)].ravel()] = True
+            columns = np.ascontiguousarray(grid.T)
+            self.lengths[size] = (grid, draws, keys, members, (pair_table, run_table, columns, bags(columns)))
+
+    def allowed(self, size: int) -> int:
+        return min(self.p.edits, (size - 1) // 4)
+
+    def intact(self, size: int) -> int:
+        """Words in a row that the allowed edits must leave: size - edits words at least remain, in edits + 1 runs at most."""
+        edits = self.allowed(size)
+        return -(-(size - edits) // (edits + 1))
+
+    def walks_for(self, size: int, draws) -> int:
+        """Walks until windows of random words are found with the wanted recall after the most edits, of whatever kind."""
+        edits = self.allowed(size)
+        if not edits:
+            return min(self.p.walks, self.p.most_walks)
+        rng, trials = np.random.Generator(np.random.PCG64(self.p.seed + size)), 1000
+        symbols = trials * size + 2
+        bits = [_mix(np.arange(symbols), int(rng.integers(1 << 62))) for _ in draws]
+        windows = np.arange(2, symbols, dtype=np.int32).reshape(trials, size)
+        starts = np.arange(trials) * size
+        kinds = ["unknown", "known", *["moved"] * (edits > 1)]
+        changed = [edited(windows, edits, k, symbols, rng) for k in kinds]
+        found = np.zeros((len(kinds), trials), bool)
+        for w in range(len(draws)):
+            keys = [list(self.keys(bits[w : w + 1], x.ravel(), starts, size, draws[w : w + 1])) for x in (windows, *changed)]
+            for k in range(len(kinds)):
+                found[k] |= np.any([one == two for one, two in zip(keys[0], keys[k + 1])], axis=0)
+            if w + 1 >= self.p.walks and found.mean(1).min() >= self.p.recall:
+                return w + 1
+        return len(draws)
 
     @staticmethod
     def pair_cell(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (_mix((a.astype(np.uint64) << _U(32)) | b.astype(np.uint64), 77) >> _U(44)).astype(np.int64)
 
-    def keys(self, symbols: np.ndarray, starts: np.ndarray, size: int, draws) -> Iterator[np.ndarray]:
+    @staticmethod
+    def run_cells(symbols: np.ndarray, run: int) -> np.ndarray:
+        """A cell for each run of so many symbols, by its start."""
+        n = len(symbols) - run + 1
+        key = np.zeros(max(n, 0), np.uint64)
+        for k in range(run if n > 0 else 0):
+            key = _mix(key ^ symbols[k : k + n].astype(np.uint64), 78)
+        return (key >> _U(44)).astype(np.int64)
+
+    @staticmethod
+    def keys(walks, symbols: np.ndarray, starts: np.ndarray, size: int, draws) -> Iterator[np.ndarray]:
         """One key array for each sample of each walk."""
-        for bits, places in zip(self.bits, draws):
+        for bits, places in zip(walks, draws):
             out = cgk(symbols, starts, size, bits, 1 + max(int(d[-1]) for d in places))
             for at in places:
                 key = np.zeros(len(starts), np.uint64)
@@ -147,36 +239,43 @@ class ItemIndex:
 
     def find(self, symbols: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(position, item, edits) in a run of documents' symbols; ends[k]: where the document of position k ends."""
-        for size, (grid, draws, keys, members, pair_table) in self.lengths.items():
+        for size, (grid, draws, keys, members, (pair_table, run_table, columns, bag)) in self.lengths.items():
             if len(symbols) < size:
                 continue
             starts = np.arange(len(symbols) - size + 1)
             starts = starts[starts + size <= ends[starts]]
-            edits = min(self.p.edits, (size - 1) // 4)
+            edits, run = self.allowed(size), self.intact(size)
             if size > 1:
                 hit = np.concatenate([[0], np.cumsum(pair_table[self.pair_cell(symbols[:-1], symbols[1:])])])
                 starts = starts[hit[starts + size - 1] - hit[starts] >= size - 1 - 2 * edits]
+            hit = np.concatenate([[0], np.cumsum(run_table[self.run_cells(symbols, run)])])
+            starts = starts[hit[starts + size - run + 1] > hit[starts]]
             for a in range(0, len(starts), 40_000):
                 some = starts[a : a + 40_000]
+                own = bags(symbols[some + k] for k in range(size))
                 pairs, held = [], 0
-                for key, (ordered, order) in zip(self.keys(symbols, some, size, draws), keys):
-                    lo, hi = np.searchsorted(ordered, key, "left"), np.searchsorted(ordered, key, "right")
-                    many = hi - lo
-                    if many.any():
-                        pos = np.repeat(np.arange(len(some)), many)
-                        at = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(len(pos))
-                        pairs.append(pos * np.int64(len(grid)) + order[at])
+                for key, lookup in zip(self.keys(self.bits, symbols, some, size, draws), keys):
+                    pos, at = lookup(key)
+                    if len(pos):
+                        pairs.append(pos * np.int64(len(grid)) + at)
                         held += len(pos)
                     if held > 1_000_000:  # most keys of a window name the same items
-                        pairs, held = [np.unique(np.concatenate(pairs))], 0
+                        pairs, held = [distinct(np.concatenate(pairs))], 0
                 if not pairs:
                     continue
-                pos, win = np.divmod(np.unique(np.concatenate(pairs)), len(grid))
-                text = symbols[some[pos][:, None] + np.arange(size)]
-                distance = np.where((text == grid[win]).all(1), 0, size)
+                pos, win = np.divmod(distinct(np.concatenate(pairs)), len(grid))
+                # an edit changes two words of a window at most
+                near = np.flatnonzero(np.bitwise_count(own[pos] ^ bag[win]) <= 2 * edits)
+                pos, win = pos[near], win[near]
+                at = some[pos]
+                distance = np.full(len(at), size)
+                rest = np.arange(len(at))
+                for k in range(size):  # what is left is equal word for word
+                    rest = rest[symbols[at[rest] + k] == columns[k][win[rest]]]
+                distance[rest] = 0
                 rest = np.flatnonzero(distance)
                 if edits and len(rest):
-                    distance[rest] = edit_distance(text[rest], grid[win[rest]], edits)
+                    distance[rest] = _banded(np.stack([symbols[at[rest] + k] for k in range(size)]), np.take(columns, win[rest], axis=1), edits)
                 ok = np.flatnonzero(distance <= edits)
                 if len(ok):
                     lens = np.array([len(members[k]) for k in win[ok]])
@@ -237,7 +336,8 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     """
     spark = documents.sparkSession
     queries = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    blocks = max(1, -(-queries.count() // p.block))
+    many, length = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    blocks = max(1, -(-many // p.block), -(-length // p.block_characters))
     rows = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long"), F.col(text))
     found = None
     for b in range(blocks):

@@ -459,3 +459,43 @@ def test_queries_have_the_wanted_columns(spark, data):
     columns = {"p1_found": {"term", "mark"}, "p2_found": {"message_id_a", "message_id_b"}, "p3_found": {"config_name", "node_id"}, "p4_found": {"message_id"}, "p5_found": {"doc_id"}, "p6_found": {"doc_id", "item_id"}, "p7_found": {"doc_id"}}
     for name, want in columns.items():
         assert set(Q.queries()[name](spark, data).columns) == want
+
+
+# leakage: walks by recall, and filters that lose nothing
+
+
+def test_walks_follow_the_wanted_recall():
+    item = [(0, " ".join(f"v{k}" for k in range(12))), (1, "a b c d e f g"), (2, "one two")]
+    walks = lambda **p: {n: len(x[1]) for n, x in leakage.ItemIndex(item, leakage.Leaks(**p)).lengths.items()}
+    low, high = walks(walks=1, recall=0.5), walks(walks=1, recall=0.99)
+    assert low[2] == high[2] == 1 and low[12] < high[12] and low[7] <= high[7]
+    assert walks(walks=1, recall=1.0, most_walks=3)[12] == 3
+
+
+def test_filters_lose_no_window():
+    rng = np.random.default_rng(3)
+    for size in (5, 9, 12):
+        index = leakage.ItemIndex([(i, " ".join(f"v{x}" for x in rng.integers(0, 40, size))) for i in range(50)], leakage.Leaks())
+        grid, _, _, _, (pairs, runs, columns, bag) = index.lengths[size]
+        edits, run = index.allowed(size), index.intact(size)
+        for kind in ("unknown", "known", *["moved"] * (edits > 1)):
+            changed = leakage.edited(grid, edits, kind, len(index.symbol) + 2, rng)
+            assert (leakage.edit_distance(changed, grid, edits) <= edits).all()
+            assert all(pairs[index.pair_cell(r[:-1], r[1:])].sum() >= size - 1 - 2 * edits for r in changed)
+            assert all(runs[index.run_cells(r, run)].any() for r in changed)
+            assert (np.bitwise_count(leakage.bags(changed.T) ^ bag) <= 2 * edits).all()
+        assert (columns == grid.T).all()
+
+
+def test_keys_find_equal_keys():
+    rng = np.random.default_rng(4)
+    held, asked = leakage._mix(rng.integers(0, 50, 300), 1), leakage._mix(rng.integers(0, 90, 200), 1)
+    at, row = leakage._Keys(held)(asked)
+    assert set(zip(at.tolist(), row.tolist())) == {(i, j) for i in range(200) for j in range(300) if asked[i] == held[j]}
+
+
+def test_items_are_taken_in_blocks_of_characters(spark):
+    items = texts(spark, [(i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(9)])
+    docs = texts(spark, [(i, f"so a{i} b{i} c{i} d{i} e{i} it is") for i in range(9)])
+    got = leakage.leaks(docs, "id", "text", items, "id", "text", leakage.Leaks(block_characters=30)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(9)]
