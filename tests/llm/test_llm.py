@@ -499,3 +499,34 @@ def test_items_are_taken_in_blocks_of_characters(spark):
     docs = texts(spark, [(i, f"so a{i} b{i} c{i} d{i} e{i} it is") for i in range(9)])
     got = leakage.leaks(docs, "id", "text", items, "id", "text", leakage.Leaks(block_characters=30)).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(9)]
+
+
+# spam: small topics, sketches of any number of tasks
+
+
+def test_prose_of_small_topics_is_no_spam(spark):
+    rng = random.Random(21)
+    frames = ["the {} of the {} was in the {} and is on the {}", "it is for the {} to be with the {} of a {}", "there was on the {} and in the {} a {} of the {}"]
+    rows, topics = [], [[f"t{k}n{j}" for j in range(12)] for k in range(1100)]
+    for k, nouns in enumerate(topics):  # each topic is less than a thousandth of the texts
+        for j in range(3):
+            rows.append((10 * k + j, ". ".join(rng.choice(frames).format(*rng.choices(nouns, k=4)) for _ in range(8))))
+    every = [n for t in topics for n in t]
+    rows += [(100_000 + i, " ".join(rng.choices(every, k=90))) for i in range(40)]
+    rows += [(200_000 + i, " ".join(rng.choice(["cheap", "best", "new"]) + f" t{i}n1 t{i}n2" for _ in range(30))) for i in range(20)]
+    got = {r.id: r.spam for r in spam.spam_scores(texts(spark, rows), "id", "text").collect()}
+    assert all(got[i] for i, _ in rows if i >= 100_000)
+    assert sum(got[i] for i, _ in rows if i < 100_000) <= 0.002 * len(rows)
+
+
+def test_sketches_are_added_in_levels(spark, monkeypatch):
+    rng = random.Random(22)
+    rows = [(i, sentence(rng, 40, 500)) for i in range(200)]
+    layout = spam.Layout.of(spam.Salad(), 8000)
+    one = spam.pair_statistics(texts(spark, rows).coalesce(1), "text", layout)
+    monkeypatch.setattr(spam, "MERGED", 3)
+    many = spam.pair_statistics(texts(spark, rows).repartition(11), "text", layout)
+    assert one.keys() == many.keys() and all((one[k] == many[k]).all() for k in one)
+    pairs = sum(len({(a, b) for a, b in zip(w, w[1:])}) for _, t in rows if (w := words(t)))
+    assert one[-1].tolist() == [200, pairs, 200 * 39] and one[0].sum() == pairs
+    assert spam.Layout.of(spam.Salad(), 1e12).rows[0] == (0, 0, 22) and spam.Layout.of(spam.Salad(), 0).rows[0] == (0, 0, 16)
