@@ -530,3 +530,9 @@ def test_sketches_are_added_in_levels(spark, monkeypatch):
     pairs = sum(len({(a, b) for a, b in zip(w, w[1:])}) for _, t in rows if (w := words(t)))
     assert one[-1].tolist() == [200, pairs, 200 * 39] and one[0].sum() == pairs
     assert spam.Layout.of(spam.Salad(), 1e12).rows[0] == (0, 0, 22) and spam.Layout.of(spam.Salad(), 0).rows[0] == (0, 0, 16)
+
+
+def test_words_of_an_address_are_one_word():
+    assert spam.tokens("See https://a.example/b?c=1, or www.d.test") == "see linkpart linkpart linkpart linkpart linkpart linkpart or linkpart linkpart linkpart".split()
+    assert spam.tokens("old pier >> e.invalid/f/g and/or 1/2, h.i") == "old pier linkpart linkpart linkpart linkpart and or 1 2 h i".split()
+    assert spam.tokens("") == []
