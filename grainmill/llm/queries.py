@@ -53,7 +53,7 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
 def _allocation(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     index, config, mix, concepts = (table(spark, folder, t) for t in ("sample_index", "schedule_config", "target_mix", "concepts"))
     members = cut(quota.distinct_members(index))
-    return quota.allocate(mix, config, concepts, members), members
+    return quota.allocate(mix, config, concepts, members, take_back=True), members
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

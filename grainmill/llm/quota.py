@@ -2,7 +2,8 @@
 
 The tree has three levels: all categories, families, categories. A category's family is the head word of its name without
 the part in brackets; categories without a name form a family of their own each. A target that can't be met passes what
-is left over first to its siblings (same family), then to its cousins (rest of the tree), in proportion to their room.
+is left over first to its siblings (same family), then to its cousins (rest of the tree), in proportion to their room. So
+does one that must keep more than it wants: siblings, then cousins, give back what it has too much.
 """
 
 from __future__ import annotations
@@ -39,13 +40,17 @@ def distinct_members(index: DataFrame) -> DataFrame:
     return index.where("sample_key is not null").select("sample_key", category(F.col("primary_node")).alias("node")).distinct()
 
 
-def allocate(targets: DataFrame, config: DataFrame, concepts: DataFrame, members: DataFrame) -> DataFrame:
+def allocate(targets: DataFrame, config: DataFrame, concepts: DataFrame, members: DataFrame, take_back: bool = False) -> DataFrame:
     """One row per target with a share, of a valid arm.
 
     n: distinct samples; wanted: share * fraction * all samples; least and most: the bounds; met: whether wanted lies
     within them. quota: whole copies allotted in the end, with what siblings and cousins took over; unplaced: what the
     arm could place nowhere (the same in all its rows). Null shares, unknown arms and null nodes give no row. Of an
     empty index nothing is wanted, so all targets are met. Repeated targets are kept as they are.
+
+    take_back: whether categories that must keep more than they want are balanced by others too, so that an arm's quotas add
+    up to what it wants, but for rounding, wherever its bounds allow that; unplaced is then negative where its least copies
+    alone are too many. Without it only what is short is passed on, and such an arm draws more than it wants.
     """
     supply = members.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     total = members.agg(F.count_distinct("sample_key").alias("t")).scalar()
@@ -65,21 +70,18 @@ def allocate(targets: DataFrame, config: DataFrame, concepts: DataFrame, members
         .withColumn("given", F.expr("least(greatest(wanted, least), most)"))
         .select("config_name", "node_id", "node", "family", "n", "target_share", "wanted", "least", "most", "met", "given")
     )
-    rows = cut(rows)
+    # what a row has too few (or, negative, too many) of
+    rows = cut(rows.withColumn("lack", F.expr("wanted - given" if take_back else "greatest(wanted - given, 0)")))
     for level in (["config_name", "family"], ["config_name"]):
         # sums of the level, not windows: they combine on the map side, however many categories an arm has
-        first = level[-1] == "family"
-        lack = "wanted - given" if first else "lack"
-        sums = rows.groupBy(*level).agg(
-            F.sum(F.expr(f"greatest({lack}, 0)") if first else F.col("lack")).alias("short"), F.sum(F.expr("most - given")).alias("room")
-        )
-        rows = (
-            rows.join(sums, level)
-            .withColumn("taken", F.expr("if(room > 0, least(short / room, 1) * (most - given), 0)"))
-            .withColumn("lack", F.expr(f"if(short > 0, {'greatest(' + lack + ', 0)' if first else lack} * greatest(short - room, 0) / short, 0)"))
-            .withColumn("given", F.expr("given + taken"))
-            .drop("short", "room", "taken")
+        up, down = F.col("most") - F.col("given"), F.col("given") - F.col("least")
+        sums = rows.groupBy(*level).agg(F.sum("lack").alias("net"), F.sum(up).alias("up"), F.sum(down).alias("down"), F.count(F.lit(1)).alias("rows"))
+        share = F.when(F.col("net") > 0, F.when(F.col("up") > 0, F.least(F.col("net"), F.col("up")) * up / F.col("up"))).otherwise(
+            F.when(F.col("down") > 0, -F.least(-F.col("net"), F.col("down")) * down / F.col("down"))
         )
+        # what the level can't place goes on to the next, in whichever of its rows
+        left = F.expr("case when net > 0 then greatest(net - up, 0) else least(net + down, 0) end / rows")
+        rows = rows.join(sums, level).withColumns({"given": F.col("given") + F.coalesce(share, F.lit(0.0)), "lack": left}).drop("net", "up", "down", "rows")
     unplaced = rows.groupBy("config_name").agg(F.sum("lack").alias("unplaced"))
     # whole copies: floors, which can't pass a bound from above; then the nearest whole number inside the bounds
     return (

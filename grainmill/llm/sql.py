@@ -10,8 +10,26 @@ _QUOTA = """m as (select distinct sample_key, nullif(lower(trim(primary_node)),
  x as (select a.config_name, a.node_id, coalesce(n, 0) as n, target_share * sample_fraction * total as wanted, c.* exclude (config_name) from target_mix a join schedule_config c using (config_name)
   left join s on s.node = lower(trim(a.node_id)), t where target_share is not null and n_low > 0 and n_low <= n_high and r_min between 0 and 1 and m_max >= 1)"""
 
+_BOUNDED = f"""{_QUOTA.replace("as n, target_share", "as n, target_share, target_share")}, names as (select lower(trim(node_id)) as node, min(node_name) as name from concepts where node_id is not null group by 1),
+ y as (select config_name, node_id, n, target_share, wanted, case when n < n_low then n when n >= n_high then r_min * n else 0 end::double as least, (m_max * n)::double as most,
+  coalesce(nullif(string_split_regex(trim(regexp_replace(lower(name), '\\s*\\(.*$', '')), '\\s+')[-1], ''), lower(trim(x.node_id))) as family from x left join names on names.node = lower(trim(x.node_id))),
+ g0 as (select *, least(greatest(wanted, least), most) as given from y)"""
+
+
+def _passed(level: str, before: str, after: str) -> str:
+    """What is short or too much passed on within a level: rows of `before` with its lack, as rows of `after`."""
+    sums = f"sum(lack) over w as net, sum(most - given) over w as up, sum(given - least) over w as down, count(*) over w as k from {before} window w as (partition by {level})"
+    given = "given + case when net > 0 and up > 0 then least(net, up) * (most - given) / up when net < 0 and down > 0 then -least(-net, down) * (given - least) / down else 0 end as given"
+    lack = "case when net > 0 then greatest(net - up, 0) else least(net + down, 0) end / k as lack"
+    return f"{after} as (select * exclude (given, lack, net, up, down, k), {given}, {lack} from (select *, {sums}))"
+
+
+_ALLOCATED = f"{_BOUNDED}, g1 as (select *, wanted - given as lack from g0), {_passed('config_name, family', 'g1', 'g2')}, {_passed('config_name', 'g2', 'g3')}"
+
 SQL = {
     "p1_found": f"with {_WORDS} select term, mark from k where mark is not null",
     "p1_term_frequency": f"with {_WORDS} select term, occurrences, messages, last_message_id, mark from k",
+    "p3_allocation": f"""with {_ALLOCATED} select config_name, node_id, family, n, target_share, wanted, least, most, wanted <= most and wanted >= least as met, given,
+ greatest(ceil(least - 1e-9), least(round(given), floor(most + 1e-9)))::bigint as quota, sum(lack) over (partition by config_name) as unplaced from g3""",
     "p3_found": f"with {_QUOTA} select config_name, node_id from x where wanted > m_max * n or wanted < case when n < n_low then n when n >= n_high then r_min * n else 0 end",
 }

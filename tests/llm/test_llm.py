@@ -536,3 +536,35 @@ def test_words_of_an_address_are_one_word():
     assert spam.tokens("See https://a.example/b?c=1, or www.d.test") == "see linkpart linkpart linkpart linkpart linkpart linkpart or linkpart linkpart linkpart".split()
     assert spam.tokens("old pier >> e.invalid/f/g and/or 1/2, h.i") == "old pier linkpart linkpart linkpart linkpart and or 1 2 h i".split()
     assert spam.tokens("") == []
+
+
+# quotas: an arm draws what it wants wherever its bounds allow that
+
+
+def test_allocation_takes_back(spark):
+    index, config, mix, concepts = quota_tables(spark)
+    rows = quota.allocate(mix, config, concepts, quota.distinct_members(index), take_back=True).collect()
+    given = {r.node_id: r.given for r in rows}
+    # b lacks 12.4, of which its sibling a has 9.2 too many and takes the rest; z lacks 5.4, c has 3 too many; cousins take the rest
+    assert given["b"] == 20 and given["c"] + given["a"] == pytest.approx(20 + 3 + 12.4 - 9.2 + 5.4 - 3) and sum(given.values()) == pytest.approx(0.9 * 54)
+    assert all(r.unplaced == pytest.approx(0) and r.least <= r.quota <= r.most for r in rows)
+
+
+def test_arms_add_up_to_what_they_want(spark):
+    rng = random.Random(23)
+    nodes = [f"n{k}" for k in range(60)]
+    index = [(f"{n}s{i}", n) for n in nodes for i in range(int(rng.paretovariate(0.7)) % 300)]
+    config = [(f"arm{a}", rng.choice([20.0, 80.0]), rng.choice([3.0, 15.0]), rng.random(), rng.choice([1.0, 2.0, 4.0]), rng.choice([0.1, 0.5, 1.0, 3.0])) for a in range(12)]
+    mix = [(c[0], n, rng.paretovariate(1.2) / 150) for c in config for n in rng.sample(nodes, 40)]
+    make = spark.createDataFrame
+    concepts = make([(n, f"{rng.choice(['red', 'old'])} {rng.choice(['cat', 'dog', 'hut'])}") for n in nodes], "node_id string, node_name string")
+    rows = quota.allocate(make(mix, "config_name string, node_id string, target_share double"), make(config, "config_name string, n_high double, n_low double, r_min double, m_max double, sample_fraction double"), concepts, quota.distinct_members(make(index, "sample_key string, primary_node string")), take_back=True).collect()
+    seen = set()
+    for arm in {r.config_name for r in rows}:
+        own = [r for r in rows if r.config_name == arm]
+        wanted, least, most, given = (sum(getattr(r, k) for r in own) for k in ("wanted", "least", "most", "given"))
+        seen.add("low" if wanted < least else "high" if wanted > most else "met")
+        assert given == pytest.approx(min(max(wanted, least), most)) and own[0].unplaced == pytest.approx(wanted - given, abs=1e-6)
+        assert abs(sum(r.quota for r in own) - given) <= len(own)
+        assert all(r.least - 1e-6 <= r.given <= r.most + 1e-6 for r in own)
+    assert "met" in seen and len(seen) > 1
