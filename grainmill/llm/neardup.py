@@ -274,6 +274,17 @@ def near_duplicate_pairs(texts: DataFrame, id_column: str, text: str, p: NearDup
     return sized.where(single).select("a", "b", "similarity").unionByName(spread).unionByName(different).unionByName(within).unionByName(star)
 
 
+def near_duplicate_classes(texts: DataFrame, id_column: str, text: str, p: NearDuplicates = NearDuplicates()) -> DataFrame:
+    """(a, b, copies_a, copies_b, similarity), a < b: similar pairs of different classes, named by their least ids, and how
+    many texts each class has. With the class ids of near_duplicate_groups() this is the whole result in one form at any
+    size: no group of copies is written out, and no link between different shingle sets is missing."""
+    _, classes = shingle_classes(texts, id_column, text, p)
+    links = similar_classes(classes, p)
+    for side in ("a", "b"):
+        links = links.join(classes.select(F.col("rep").alias(side), F.col("copies").alias(f"copies_{side}")), side)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[F.when(F.col("a") < F.col("b"), x).otherwise(y).alias(n) for n, x, y in (("copies_a", F.col("copies_a"), F.col("copies_b")), ("copies_b", F.col("copies_b"), F.col("copies_a")))], "similarity")
+
+
 def near_duplicate_groups(texts: DataFrame, id_column: str, text: str, p: NearDuplicates = NearDuplicates()) -> DataFrame:
     """(id, group_id, class_id, links) of every text with a near-duplicate or copy: group is the connected component, class
     the set of copies, both named by their least id; links is the number of other classes that are similar to its own."""

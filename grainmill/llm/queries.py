@@ -50,6 +50,10 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicate_groups(_turns(spark, folder), "message_id", "content", TURNS).withColumnRenamed("id", "message_id")
 
 
+def p2_class_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicate_classes(_turns(spark, folder), "message_id", "content", TURNS).withColumnRenamed("a", "class_a").withColumnRenamed("b", "class_b")
+
+
 def _allocation(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     index, config, mix, concepts = (table(spark, folder, t) for t in ("sample_index", "schedule_config", "target_mix", "concepts"))
     members = cut(quota.distinct_members(index))

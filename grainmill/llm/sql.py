@@ -26,9 +26,21 @@ def _passed(level: str, before: str, after: str) -> str:
 
 _ALLOCATED = f"{_BOUNDED}, g1 as (select *, wanted - given as lack from g0), {_passed('config_name, family', 'g1', 'g2')}, {_passed('config_name', 'g2', 'g3')}"
 
+# every pair that shares a triple of words, counted; groups of copies beyond 64 are stars in the query, which the tables lack
+_TRIPLES = """m as (select message_id, any_value(content) as content from messages where message_id is not null and role in ('user', 'assistant') group by 1),
+ w as (select message_id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') as ws from m where content is not null),
+ s as (select message_id, list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) as ts from w where len(ws) >= 30),
+ e as (select message_id, len(ts) as n, unnest(ts) as t from s),
+ c as (select a.message_id as message_id_a, b.message_id as message_id_b, a.n as na, b.n as nb, count(*) as shared from e a join e b on a.t = b.t and a.message_id < b.message_id group by all),
+ p as (select *, shared / (na + nb - shared) as similarity from c where 2 * shared >= na + nb - shared)"""
+_CLASSES = f"""{_TRIPLES}, k as (select message_id, min(message_id) over (partition by list_sort(ts)) as class, count(*) over (partition by list_sort(ts)) as copies from s)"""
+
 SQL = {
     "p1_found": f"with {_WORDS} select term, mark from k where mark is not null",
     "p1_term_frequency": f"with {_WORDS} select term, occurrences, messages, last_message_id, mark from k",
+    "p2_found": f"with {_TRIPLES} select message_id_a, message_id_b from p",
+    "p2_class_pairs": f"""with {_CLASSES} select message_id_a as class_a, message_id_b as class_b, x.copies as copies_a, y.copies as copies_b, similarity
+ from p join k x on x.message_id = message_id_a join k y on y.message_id = message_id_b where x.class = message_id_a and y.class = message_id_b and x.class <> y.class""",
     "p3_allocation": f"""with {_ALLOCATED} select config_name, node_id, family, n, target_share, wanted, least, most, wanted <= most and wanted >= least as met, given,
  greatest(ceil(least - 1e-9), least(round(given), floor(most + 1e-9)))::bigint as quota, sum(lack) over (partition by config_name) as unplaced from g3""",
     "p3_found": f"with {_QUOTA} select config_name, node_id from x where wanted > m_max * n or wanted < case when n < n_low then n when n >= n_high then r_min * n else 0 end",

@@ -568,3 +568,14 @@ def test_arms_add_up_to_what_they_want(spark):
         assert abs(sum(r.quota for r in own) - given) <= len(own)
         assert all(r.least - 1e-6 <= r.given <= r.most + 1e-6 for r in own)
     assert "met" in seen and len(seen) > 1
+
+
+def test_class_pairs(spark, near_rows):
+    classes = {(r.a, r.b): (r.copies_a, r.copies_b, r.similarity) for r in neardup.near_duplicate_classes(clash(texts(spark, near_rows)), "id", "text", Q.TURNS).collect()}
+    groups = {r.id: r for r in neardup.near_duplicate_groups(texts(spark, near_rows), "id", "text", Q.TURNS).collect()}
+    size = Counter(r.class_id for r in groups.values())
+    assert classes and all(a < b and n == size[a] and m == size[b] and s >= 0.5 for (a, b), (n, m, s) in classes.items())
+    # links between classes and membership give back every pair
+    spread = {(min(i, j), max(i, j)) for i, x in groups.items() for j, y in groups.items() if i != j and (x.class_id == y.class_id or (min(x.class_id, y.class_id), max(x.class_id, y.class_id)) in classes)}
+    assert spread == brute_pairs(near_rows, Q.TURNS)
+    assert neardup.near_duplicate_classes(texts(spark, []), "id", "text").count() == 0
