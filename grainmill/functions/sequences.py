@@ -83,9 +83,9 @@ def protected_truncate(values: Column, protected: list[int], n: int) -> Column:
     keep = F.array(*[F.lit(p) for p in protected])
     guarded = lambda x: F.array_contains(keep, x)
     room = F.lit(n) - F.size(F.filter(values, guarded))
-    loose = F.size(F.filter(values, lambda x: ~guarded(x)))
-    from_here = lambda i: loose - F.size(F.filter(F.slice(values, F.lit(1), i), lambda x: ~guarded(x)))
-    out = F.transform(F.filter(F.transform(values, lambda x, i: F.struct(x.alias("x"), from_here(i).alias("r"))), lambda s: guarded(s["x"]) | (s["r"] <= room)), lambda s: s["x"])
+    loose = F.filter(F.transform(values, lambda x, i: F.when(~guarded(x), i)), lambda i: i.isNotNull())
+    first = F.coalesce(F.get(loose, F.size(loose) - room), F.lit(1 << 30))  # from here on all others are kept
+    out = F.filter(values, lambda x, i: guarded(x) | (i >= first))
     return F.when(F.size(values) <= n, values).when(room < 0, F.raise_error(F.lit("protected tokens exceed the length")).cast("array<int>")).otherwise(out)
 
 

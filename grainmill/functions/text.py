@@ -77,10 +77,11 @@ def with_eos(text: Column, eos: str = "<|im_end|>") -> Column:
 
 
 def common_prefix(one: Column, two: Column) -> Column:
-    """Longest common prefix in characters."""
+    """Longest common prefix in characters; its length is found by halving, so the work grows little faster than the text."""
     n = F.least(F.length(one), F.length(two))
-    differs = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(one, i, F.lit(1)) != F.substr(two, i, F.lit(1)))
-    return F.when(n == 0, "").when(F.size(differs) > 0, F.substr(one, F.lit(1), F.element_at(differs, 1) - 1)).otherwise(F.substr(one, F.lit(1), n))
+    equal = lambda k: (k <= n) & (F.substr(one, F.lit(1), k) == F.substr(two, F.lit(1), k))
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    return F.substr(one, F.lit(1), F.aggregate(steps, F.lit(0), lambda k, step: F.when(equal(k + step), k + step).otherwise(k)))
 
 
 #: Fixed value: an answer's format, one think block at the start.

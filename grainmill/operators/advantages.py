@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clipped
+from .sampling import quantiles
 
 
 def total_reward(weights: Mapping[str, float]) -> Column:
@@ -57,7 +58,8 @@ def reward_statistics(rows: DataFrame, *columns: str) -> DataFrame:
     """(reward, n, mean, std, least, most, median) of each column over the rows where it applies."""
     names = F.explode(F.array(*[F.struct(F.lit(c).alias("reward"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("x")) for c in columns]))
     long = rows.select(names.alias("r")).select("r.reward", "r.x")
-    return long.groupBy("reward").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most"), F.median("x").alias("median"))
+    medians = quantiles(long, "x", 0.5, "reward").withColumnRenamed("quantile", "median")  # a row per column
+    return long.groupBy("reward").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most")).join(F.broadcast(medians), "reward")
 
 
 def length_statistics(rows: DataFrame, length: str, terminated: str) -> DataFrame:
@@ -130,7 +132,7 @@ def nucleus(rows: DataFrame, group: str, token: str, logit: str, top_k: int = 0,
 
 def high_entropy(rows: DataFrame, entropy: str, mask: str, quantile: float) -> DataFrame:
     """Adds high: valid tokens at or above the quantile (linear between neighbours) of all valid tokens."""
-    least = rows.where(F.col(mask) == 1).agg(F.percentile(entropy, quantile).alias("q")).scalar()
+    least = quantiles(rows.where(F.col(mask) == 1), entropy, quantile).scalar()
     return rows.withColumn("high", (F.col(mask) == 1) & F.coalesce(F.col(entropy) >= least, F.lit(False)))
 
 
@@ -162,6 +164,34 @@ def characters_per_token(rows: DataFrame, text: str, tokens: str, order: str, fi
     return head.agg((F.sum(F.length(text)) / F.nullif(F.sum(tokens), F.lit(0))).alias("ratio"))
 
 
+def model_summary(rows: DataFrame, model: str, value: str) -> DataFrame:
+    """(model, any, mean, std, median) per model: whether it has a value at all, and its values' mean, population deviation
+    and median."""
+    stats = rows.groupBy(model).agg(F.avg(value).isNotNull().alias("any"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    middle = quantiles(rows, value, 0.5, model).select(F.col(model).alias("_m"), F.col("quantile").alias("median"))
+    return stats.join(middle, F.col(model).eqNullSafe(F.col("_m")), "left").drop("_m")
+
+
+def maximum(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, most): the largest value of each key; null and NaN don't count."""
+    return rows.groupBy(key).agg(F.max(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))).alias("most"))
+
+
+def average(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, mean): null and NaN don't count; a key of nothing else has a null mean."""
+    known = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    return rows.groupBy(key).agg(F.count(known).alias("n"), F.avg(known).alias("mean"))
+
+
+def token_accuracy(rows: DataFrame, predictions: str, labels: str, ignore: int = -100) -> DataFrame:
+    """One row (accuracy, tokens): the share of tokens predicted, those whose label is ignored left out. Arrays of a row are
+    compared place by place up to the shorter one."""
+    counted = F.filter(F.zip_with(F.col(predictions), F.col(labels), lambda p, x: F.when(x != ignore, (p == x).cast("int"))), lambda v: v.isNotNull())
+    each = rows.select(F.size(counted).alias("n"), F.aggregate(counted, F.lit(0), lambda a, v: a + v).alias("hit"))
+    n = F.sum(F.greatest("n", F.lit(0)))
+    return each.agg((F.sum("hit") / F.nullif(n, F.lit(0))).alias("accuracy"), F.coalesce(n, F.lit(0)).alias("tokens"))
+
+
 def first_per_prompt(rows: DataFrame, prompt: str, *order: str) -> DataFrame:
     from .catalog import first_wins
 

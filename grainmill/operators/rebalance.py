@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..context import cut, small
+from ..context import cut, listed, small
 from ..functions.hashing import draw
 from ..functions.schedule import Schedule, concept_multiplicity, realise
 from .linking import base_name
+from .sampling import quantiles
 
 
 def concept_counts(links: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def _with_unlinked(reduced: DataFrame, universe: DataFrame | None, value: Column
 
 def rarest_wins(links: DataFrame, nodes: DataFrame, universe: DataFrame | None = None) -> DataFrame:
     """(sample_key, m): the largest multiplicity of a sample's concepts, 1 without any; concepts not in `nodes` count 0."""
-    m = links.join(small(nodes.select("node_id", "m_c")), "node_id", "left").groupBy("sample_key").agg(F.max(F.coalesce("m_c", F.lit(0.0))).alias("m"))
+    m = links.join(listed(nodes.select("node_id", "m_c")), "node_id", "left").groupBy("sample_key").agg(F.max(F.coalesce("m_c", F.lit(0.0))).alias("m"))
     return _with_unlinked(m, universe, F.lit(1.0), "m")
 
 
@@ -40,7 +41,7 @@ def geometric_mean(links: DataFrame, nodes: DataFrame, universe: DataFrame | Non
 
     Between m_floor and m_max; 1 where all are at 1.
     """
-    joined = links.join(small(nodes.select("node_id", "m_c")), "node_id", "left").withColumn("m_c", F.coalesce("m_c", F.lit(0.0)))
+    joined = links.join(listed(nodes.select("node_id", "m_c")), "node_id", "left").withColumn("m_c", F.coalesce("m_c", F.lit(0.0)))
     log = F.log(F.when(F.col("m_c") > 0, F.col("m_c")))
     sums = joined.groupBy("sample_key").agg(F.sum(F.abs(log) * log).alias("top"), F.sum(F.abs(log)).alias("weight"), F.min("m_c").alias("least"))
     mean = F.when(F.col("least") <= 0, 0.0).when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.exp(F.col("top") / F.col("weight")))
@@ -55,11 +56,11 @@ def mean_inverse(links: DataFrame, counts: DataFrame, universe: DataFrame | None
     if excluded is not None:
         gone = excluded.select("node_id").distinct().withColumn("gone", F.lit(True))
         nodes = nodes.join(gone, "node_id", "left").select("node_id", F.when(F.col("gone"), 0.0).otherwise(F.col("v")).alias("v"))
-    w = links.join(small(nodes), "node_id", "left").groupBy("sample_key").agg(F.avg(F.coalesce("v", F.lit(1.0))).alias("w"))
+    w = links.join(listed(nodes), "node_id", "left").groupBy("sample_key").agg(F.avg(F.coalesce("v", F.lit(1.0))).alias("w"))
     if universe is None:
         return w
     w = cut(w)
-    median = w.where("w > 0").agg(F.percentile("w", 0.5).alias("w")).scalar()
+    median = quantiles(w.where("w > 0"), "w", 0.5).scalar()
     return _with_unlinked(w, universe, F.coalesce(median, F.lit(1.0)), "w")
 
 
@@ -118,8 +119,9 @@ CONFIRMED_MISLINKS = ["n02076196", "n09213434", "n10435988"]
 
 
 def excluded_nodes(counts: DataFrame, n_low: int = 1000, drop_split_forms: bool = True) -> DataFrame:
-    listed = counts.where(F.col("node_id").isin(CONFIRMED_MISLINKS)).select("node_id", F.lit("mislink").alias("reason"))
-    return listed.unionByName(split_forms(counts, n_low).select("node_id", F.lit("split form").alias("reason"))) if drop_split_forms else listed
+    """(node_id, reason): nodes reviewed and found to be linked wrongly, and rare forms of a frequent name."""
+    mislinks = counts.where(F.col("node_id").isin(CONFIRMED_MISLINKS)).select("node_id", F.lit("mislink").alias("reason"))
+    return mislinks.unionByName(split_forms(counts, n_low).select("node_id", F.lit("split form").alias("reason"))) if drop_split_forms else mislinks
 
 
 def guard_audit(counts: DataFrame, n_low: int = 1000, suspects: tuple[str, ...] = ()) -> DataFrame:

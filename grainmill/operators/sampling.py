@@ -25,6 +25,39 @@ def ranked(rows: DataFrame, *order: str | Column, name: str = "place", ranges: i
     return inside.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_c", "_before", "_i")
 
 
+def quantiles(rows: DataFrame, value: str, q: float, *groups: str) -> DataFrame:
+    """(groups, quantile): of each group's values, linear between neighbours; exact, and no task sees a whole group.
+
+    Equal values are counted first, on the map side; the distinct ones are range-partitioned, and a value's rank is what the
+    ranges before its own hold of its group and what stands before it there. Nulls and NaN don't count; a group of nothing
+    else has null. Without groups it is one row, null for no values.
+    """
+    keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)] or [F.lit(0).alias("_g0")]
+    names = [f"_g{i}" for i in range(len(keys))]
+    known = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    values = rows.select(*keys, known.alias("_v"))
+    counts = values.where("_v is not null").groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(counts.repartitionByRange(n, *names, "_v").withColumn("_p", F.spark_partition_id()))
+    theirs = [f"_r{i}" for i in range(len(names))]
+    ranges = placed.groupBy(*[F.col(k).alias(r) for k, r in zip(names, theirs)], F.col("_p").alias("_q")).agg(F.sum("_c").alias("_s"))
+    of_group = W.partitionBy(*theirs)  # a row per range
+    before = F.coalesce(F.sum("_s").over(of_group.orderBy("_q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumns({"_before": before, "_n": F.sum("_s").over(of_group)})
+    upto = F.col("_before") + F.sum("_c").over(W.partitionBy("_p", *names).orderBy("_v"))
+    same = [F.col("_p") == F.col("_q"), *[F.col(k).eqNullSafe(F.col(r)) for k, r in zip(names, theirs)]]
+    ranked = placed.join(ranges, same).withColumn("_upto", upto)
+    at = (F.col("_n") - 1) * F.lit(float(q))
+    holds = lambda r: F.max(F.when((r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_c")), F.col("_v")))
+    found = ranked.groupBy(*names).agg(holds(F.floor(at)).alias("_lo"), holds(F.ceil(at)).alias("_hi"), F.max(at - F.floor(at)).alias("_f"))
+    exact = found.select(*names, (F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias("quantile"))
+    if not groups:
+        return exact.agg(F.max("quantile").alias("quantile"))
+    every = values.select(*[F.col(k).alias(r) for k, r in zip(names, theirs)]).distinct()
+    out = every.join(exact, [F.col(k).eqNullSafe(F.col(r)) for k, r in zip(names, theirs)], "left")
+    return out.select(*[F.col(r).alias(g) for r, g in zip(theirs, groups)], "quantile")
+
+
 def shuffle(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Adds `place` in a pseudo-random order of distinct keys."""
     return ranked(rows.withColumn("_h", F.xxhash64(key, F.lit(seed))), "_h", key).drop("_h")

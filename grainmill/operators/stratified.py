@@ -36,7 +36,7 @@ def quotas(counts: DataFrame, n_head: float, a_head: float, r_min: float, base:
     return rated.withColumn("place", F.struct("N_c", "node_id"))
 
 
-def select(links: DataFrame, limits: DataFrame, rounds: int = 200) -> DataFrame:
+def select(links: DataFrame, limits: DataFrame) -> DataFrame:
     """(sample_key, node_id): the selected samples, each with the concept that selected it.
 
     A concept counts what earlier concepts selected toward its quota and fills the rest by (priority, sample_key). Each
@@ -48,7 +48,7 @@ def select(links: DataFrame, limits: DataFrame, rounds: int = 200) -> DataFrame:
     rows = cut(rows.select("sample_key", "node_id", "priority", "quota", "N_c", "place"))
     chosen = cut(rows.where("quota >= N_c").groupBy("sample_key").agg(F.min("place").alias("by")))
     seen = None
-    for _ in range(rounds):
+    while True:  # at most as many rounds as concepts
         known = rows.join(chosen, "sample_key", "left")
         done = F.coalesce(F.col("by") < F.col("place"), F.lit(False))
         have = known.groupBy("node_id").agg(F.count_if(done).alias("have"))
@@ -59,4 +59,3 @@ def select(links: DataFrame, limits: DataFrame, rounds: int = 200) -> DataFrame:
         if state == seen:
             return chosen.select("sample_key", F.col("by.node_id").alias("node_id"))
         seen = state
-    raise RuntimeError("selection did not settle")

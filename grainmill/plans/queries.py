@@ -594,8 +594,8 @@ def completions_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select event_type, avg(value) is not null as any, round(avg(value),6) as mean_value, round(stddev_pop(value),6) as std_value, round(median(value),6) as median_value from events group by 1")
 def model_summary(spark: SparkSession, d: str) -> DataFrame:
-    g = _events(spark, d).groupBy("event_type")
-    return g.agg(F.avg("value").isNotNull().alias("any"), _r(F.avg("value")).alias("mean_value"), _r(F.stddev_pop("value")).alias("std_value"), _r(F.median("value")).alias("median_value"))
+    out = advantages.model_summary(_events(spark, d), "event_type", "value")
+    return out.select("event_type", "any", *[_r(c).alias(f"{c}_value") for c in ("mean", "std", "median")])
 
 
 @query("with h as (select * from documents where text is not null order by doc_id limit 400) select round(sum(length(text))/sum(len(string_split(text,' '))),8) as ratio from h")
@@ -667,7 +667,10 @@ def nearest_code(spark: SparkSession, d: str) -> DataFrame:
     import numpy as np
 
     vecs = table(spark, d, "embeddings")
-    book = np.array([r.centroid for r in vectors.centroids(vecs, "label", "embedding").orderBy("label").collect()])  # one row per label of a fixed set
+    rows = vectors.centroids(vecs, "label", "embedding").orderBy("label").limit(10_001).collect()  # a codebook is a fixed set of codes
+    if len(rows) > 10_000:
+        raise ValueError("more labels than a codebook may have")
+    book = np.array([r.centroid for r in rows])
     return vectors.nearest_code(vecs, "vec_id", "embedding", book).withColumn("distance", _r("distance", 5))
 
 

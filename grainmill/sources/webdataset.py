@@ -8,6 +8,7 @@ import warnings
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -34,7 +35,7 @@ class _Reader(DataSourceReader):
         payload = self.options.get("payload", "false").lower() == "true"
         wanted = {x for x in self.options.get("extensions", "").split(",") if x}
         try:
-            with tarfile.open(partition.path, "r|*") as tar:
+            with _open(partition.path) as file, tarfile.open(fileobj=file, mode="r|*") as tar:
                 for position, member in enumerate(tar):
                     stem, extension = os.path.splitext(member.name)
                     extension = extension[1:]
@@ -62,12 +63,26 @@ class WebDataset(DataSource):
 def discover(folder: str | None = None, listed: str | None = None, most: int | None = None) -> list[str]:
     """Sorted tars below a folder, or the non-blank lines of a list file."""
     if listed:
-        found = [x.strip() for x in Path(listed).read_text().splitlines() if x.strip()]
+        with _open(listed) as f:
+            found = [x.strip() for x in f.read().decode().splitlines() if x.strip()]
+    elif "://" in folder:
+        files, root = fs.FileSystem.from_uri(folder)
+        scheme = folder.split("://")[0] + "://"
+        host = "" if scheme == "file://" else folder[len(scheme) :].split("/")[0] if root.startswith("/") else ""
+        found = sorted(f"{scheme}{host}{x.path}" for x in files.get_file_info(fs.FileSelector(root, recursive=True)) if x.is_file and x.path.endswith(".tar"))
     else:
         found = sorted(str(p) for p in Path(folder).rglob("*.tar"))
     return found[:most]
 
 
+def _open(path: str):
+    """A shard or list for reading, on the machine or on any file system Arrow knows by its scheme (hdfs, s3, gs, file)."""
+    if "://" not in path:
+        return open(path, "rb")
+    files, name = fs.FileSystem.from_uri(path)
+    return files.open_input_stream(name)
+
+
 def members(spark: SparkSession, folder: str | None = None, **options: str) -> DataFrame:
     spark.dataSource.register(WebDataset)
     reader = spark.read.format("webdataset").options(**options)

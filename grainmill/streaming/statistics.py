@@ -25,14 +25,16 @@ def merged(state: tuple[float, float, float], batch: tuple[float, float, float])
 def running_moments(rows: DataFrame, step: str, value: str) -> DataFrame:
     """(step, n, mean, var): population moments of all values up to and with each step.
 
-    Steps are reduced to count, sum and sum of squared deviations, which add up exactly enough: the window sees one row per
-    step. Null values don't count; a step of none repeats the one before.
+    Steps are reduced to count, sum and sum of squares of the values' distance from their overall mean, so that large means
+    cost no digits: the window sees one row per step. Null values don't count; a step of none repeats the one before.
     """
-    per = rows.groupBy(step).agg(F.count(value).alias("c"), F.coalesce(F.sum(value), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col(value) * F.col(value)), F.lit(0.0)).alias("q"))
+    pivot = F.coalesce(rows.agg(F.avg(value).alias("p")).scalar(), F.lit(0.0))
+    x = F.col(value) - pivot
+    per = rows.groupBy(step).agg(F.count(value).alias("_c"), F.coalesce(F.sum(x), F.lit(0.0)).alias("_s"), F.coalesce(F.sum(x * x), F.lit(0.0)).alias("_q"))
     w = W.orderBy(step).rowsBetween(W.unboundedPreceding, 0)
-    sums = per.select(step, F.sum("c").over(w).alias("n"), F.sum("s").over(w).alias("s"), F.sum("q").over(w).alias("q"))
-    mean = F.col("s") / F.nullif("n", F.lit(0))
-    return sums.select(step, "n", mean.alias("mean"), (F.col("q") / F.nullif("n", F.lit(0)) - mean * mean).alias("var"))
+    sums = per.select(step, F.sum("_c").over(w).alias("n"), F.sum("_s").over(w).alias("_s"), F.sum("_q").over(w).alias("_q"))
+    mean = F.col("_s") / F.nullif("n", F.lit(0))
+    return sums.select(step, "n", (mean + pivot).alias("mean"), (F.col("_q") / F.nullif("n", F.lit(0)) - mean * mean).alias("var"))
 
 
 def stream_running_moments(stream: DataFrame, key: str, value: str) -> DataFrame:
@@ -60,7 +62,9 @@ def tracked_advantages(rows: DataFrame, prompt: str, step: str, value: str, item
     """
     batch = rows.groupBy(step).agg(F.avg(value).alias("_bm"), F.stddev_pop(value).alias("_bs"))
     item_value = F.struct(F.col(item).alias("i"), F.col(value).alias("v"))
-    lists = rows.groupBy(prompt, step).agg(F.transform(F.sort_array(F.collect_list(item_value)), lambda s: s["v"]).alias("_l"))
+    # no more than a buffer of a step can matter, however hot the prompt: the rank limit is applied before rows move
+    newest = F.row_number().over(W.partitionBy(prompt, step).orderBy(F.desc(item)))
+    lists = rows.select(prompt, step, item, value).withColumn("_k", newest).where(F.col("_k") <= buffer).groupBy(prompt, step).agg(F.transform(F.sort_array(F.collect_list(item_value)), lambda s: s["v"]).alias("_l"))
     history = F.flatten(F.collect_list("_l").over(W.partitionBy(prompt).orderBy(step).rowsBetween(1 - buffer, 0)))
     kept = lists.withColumn("_h", history).withColumn("_h", F.when(F.size("_h") > buffer, F.slice("_h", -buffer, buffer)).otherwise(F.col("_h"))).drop("_l")
     n = F.size("_h")
