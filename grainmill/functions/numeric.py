@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,9 +21,14 @@ def softmax_pair(a: Column, b: Column, temperature: float = 1.0) -> Column:
     return sigmoid((a - b) / F.lit(temperature))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once per row: what a lambda takes from outside is else worked out anew for
+    every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def logsumexp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.log(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+    return let(F.array_max(values), lambda top: top + F.log(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))))
 
 
 def log_softmax_at(logits: Column, index: Column) -> Column:
@@ -30,14 +37,13 @@ def log_softmax_at(logits: Column, index: Column) -> Column:
 
 
 def entropy(logits: Column) -> Column:
-    z = logsumexp(logits)
-    return F.aggregate(logits, F.lit(0.0), lambda acc, x: acc - F.exp(x - z) * (x - z))
+    return let(logsumexp(logits), lambda z: F.aggregate(logits, F.lit(0.0), lambda acc, x: acc - F.exp(x - z) * (x - z)))
 
 
 def jensen_shannon(student: Column, teacher: Column, beta: float = 0.5) -> Column:
     """Generalised divergence of two logit arrays; beta 0 and 1 are the two one-sided ones."""
-    zs, zt = logsumexp(student), logsumexp(teacher)
-    p, q = F.transform(student, lambda x: x - zs), F.transform(teacher, lambda x: x - zt)
+    normal = lambda values: let(logsumexp(values), lambda z: F.transform(values, lambda x: x - z))
+    p, q = normal(student), normal(teacher)
 
     def kl(one: Column, two: Column) -> Column:
         return F.aggregate(F.zip_with(one, two, lambda a, b: F.exp(a) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import let
+
 #: Fixed value: a label the loss skips.
 IGNORE = -100
 
@@ -30,8 +32,7 @@ def after_stop(values: Column, stop: int) -> Column:
 
 
 def pad_after_stop(values: Column, stop: int, pad: int) -> Column:
-    at = F.array_position(values, F.lit(stop))
-    return F.transform(values, lambda x, i: F.when((at > 0) & (i >= at), F.lit(pad)).otherwise(x))
+    return let(F.array_position(values, F.lit(stop)), lambda at: F.transform(values, lambda x, i: F.when((at > 0) & (i >= at), F.lit(pad)).otherwise(x)))
 
 
 def with_bos(values: Column, bos: int) -> Column:
@@ -84,8 +85,8 @@ def protected_truncate(values: Column, protected: list[int], n: int) -> Column:
     guarded = lambda x: F.array_contains(keep, x)
     room = F.lit(n) - F.size(F.filter(values, guarded))
     loose = F.filter(F.transform(values, lambda x, i: F.when(~guarded(x), i)), lambda i: i.isNotNull())
-    first = F.coalesce(F.get(loose, F.size(loose) - room), F.lit(1 << 30))  # from here on all others are kept
-    out = F.filter(values, lambda x, i: guarded(x) | (i >= first))
+    first = let(loose, lambda o: F.coalesce(F.get(o, F.size(o) - room), F.lit(1 << 30)))  # from here on all others are kept
+    out = let(first, lambda start: F.filter(values, lambda x, i: guarded(x) | (i >= start)))
     return F.when(F.size(values) <= n, values).when(room < 0, F.raise_error(F.lit("protected tokens exceed the length")).cast("array<int>")).otherwise(out)
 
 

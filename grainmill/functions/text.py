@@ -77,11 +77,12 @@ def with_eos(text: Column, eos: str = "<|im_end|>") -> Column:
 
 
 def common_prefix(one: Column, two: Column) -> Column:
-    """Longest common prefix in characters; its length is found by halving, so the work grows little faster than the text."""
+    """Longest common prefix in characters, null if a side is; its length is found by halving, so the work grows little faster than the text."""
     n = F.least(F.length(one), F.length(two))
     equal = lambda k: (k <= n) & (F.substr(one, F.lit(1), k) == F.substr(two, F.lit(1), k))
     steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
-    return F.substr(one, F.lit(1), F.aggregate(steps, F.lit(0), lambda k, step: F.when(equal(k + step), k + step).otherwise(k)))
+    prefix = F.substr(one, F.lit(1), F.aggregate(steps, F.lit(0), lambda k, step: F.when(equal(k + step), k + step).otherwise(k)))
+    return F.when(one.isNotNull() & two.isNotNull(), prefix)
 
 
 #: Fixed value: an answer's format, one think block at the start.

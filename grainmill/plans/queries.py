@@ -383,14 +383,6 @@ def think_format_reward(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).where("content is not null").select("message_id", X.think_reward(F.col("content")).alias("reward"))
 
 
-@query("""with p as (select pref_id, replace(lower(chosen[-1].content),' ','') a, replace(lower(rejected[-1].content),' ','') b from preferences)
- select pref_id, case when length(a)>0 then case when contains(coalesce(b,''),a) then 1.0 else round(1-least(levenshtein(a,coalesce(b,'')),length(a))/length(a),6) end end as reward from p where a not like '%"%'""")
-def edit_distance_reward(spark: SparkSession, d: str) -> DataFrame:
-    last = lambda c: F.try_element_at(c, F.lit(-1))["content"]
-    rows = table(spark, d, "preferences").select("pref_id", F.concat(F.lit('read "'), last("chosen"), F.lit('"')).alias("p"), last("rejected").alias("r"), last("chosen").alias("c"))
-    return rows.where("c not like '%\"%'").select("pref_id", _r(X.edit_distance_reward(F.col("p"), F.col("r"))).alias("reward"))
-
-
 @query(f"with {_MSG} select message_id, case when ends_with(content,'<|im_end|>') then content else content||'<|im_end|>' end as text, (-abs(20-length(content)))::double as length_reward from g where content is not null")
 def eos_and_length(spark: SparkSession, d: str) -> DataFrame:
     rows = _messages(spark, d).where("content is not null")
@@ -458,13 +450,6 @@ def stop_truncation(spark: SparkSession, d: str) -> DataFrame:
     return _tokens(spark, d).select("doc_id", sequences.first_true(flags).alias("stop_at"), F.size(sequences.after_stop(F.col("tokens"), 13)).alias("kept"))
 
 
-@query(f"with {_TOK}, s as (select doc_id, tokens t from t) select doc_id, len(list_filter(t, lambda v: v>4))::int as kept, {_SUM.format(x='list_filter(t, lambda v: v>4)')} as digest from s where len(list_filter(t, lambda v: v>4))>0")
-def flush_left(spark: SparkSession, d: str) -> DataFrame:
-    rows = _tokens(spark, d).select("doc_id", F.col("tokens").alias("t")).withColumn("m", F.transform("t", lambda v: (v > 4).cast("int")))
-    out = rows.select("doc_id", F.aggregate("m", F.lit(0), lambda a, x: a + x).alias("kept"), _digest(sequences.flushed(F.col("t"), F.col("m"))).alias("digest"))
-    return out.where("kept > 0")
-
-
 @query(f"with {_TOK}, s as (select doc_id//8 g, list(len(tokens) order by doc_id) ls from t group by 1) select g, list_sum(ls)::int as n, list_sum(list_transform(ls, lambda x: x*(x-1)//2))::bigint as digest from s")
 def packed_positions(spark: SparkSession, d: str) -> DataFrame:
     rows = _tokens(spark, d).groupBy(F.expr("doc_id div 8").alias("g")).agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.size("tokens").alias("n")))), lambda s: s["n"]).alias("ls"))
