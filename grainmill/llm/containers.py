@@ -1,7 +1,7 @@
 """Texts into containers of fixed capacity: a grouping genetic algorithm on islands with elite migration.
 
 Each capacity group is cut into blocks of bounded size by a hash, so a group that holds a third of all rows is spread over
-the cluster. Every block evolves on several islands; between epochs each island hands its best packing to the next one. A
+the cluster. Every block is packed by best fit first; one above its lower bound evolves on several islands, and between epochs each island hands its best packing to the next one. A
 block whose packing reaches the lower bound ceil(sum / capacity) is optimal and evolves no further. Last, the least filled
 containers of all blocks of a group are dissolved and packed once more in new blocks, so that nearly all of what stays half
 empty is one container for each of those few blocks.
@@ -29,8 +29,8 @@ class Packing:
     block: int = 1000
     islands: int = 2
     epochs: int = 2
-    population: int = 4
-    generations: int = 6
+    population: int = 6
+    generations: int = 30
     #: Share of a block's containers, the least filled ones, that are dissolved and packed again with those of other blocks.
     dissolve: float = 0.05
     seed: int = 11
@@ -77,6 +77,31 @@ def best_fit(items: list[int], size: np.ndarray, capacity: int, bins: Bins) -> B
     return bins
 
 
+def completed(items: list[int], size: np.ndarray, capacity: int) -> Bins:
+    """Container by container: the largest item left, then, while something fits, the one or two items that fill best."""
+    left = sorted((int(size[i]), i) for i in items)
+    bins = []
+    while left:
+        s, i = left.pop()
+        room, held = capacity - s, [i]
+        while left and left[0][0] <= room:
+            at = bisect_left(left, (room + 1, -1)) - 1
+            low, high, best, take = 0, at, left[at][0], (at,)
+            while low < high and best < room:
+                both = left[low][0] + left[high][0]
+                if both > room:
+                    high -= 1
+                    continue
+                if both > best:
+                    best, take = both, (high, low)
+                low += 1
+            for k in take:
+                held.append(left.pop(k)[1])
+            room -= best
+        bins.append(held)
+    return bins
+
+
 def fitness(bins: Bins, size: np.ndarray, capacity: int) -> tuple[int, float]:
     """Fewer containers first; among equals, rather full ones and near-empty ones than all half full."""
     return -len(bins), sum((float(sum(size[i] for i in b)) / capacity) ** 2 for b in bins)
@@ -99,10 +124,10 @@ def crossover(one: Bins, two: Bins, size: np.ndarray, capacity: int, rng: Random
 
 
 def mutate(bins: Bins, size: np.ndarray, capacity: int, rng: Random) -> Bins:
-    """Dissolves the emptiest container and a few others."""
+    """Dissolves the emptiest containers and some others, and fills new ones with their items one after the other."""
     order = sorted(range(len(bins)), key=lambda k: int(sum(size[i] for i in bins[k])))
-    out = {order[0], *(rng.randrange(len(bins)) for _ in range(max(1, len(bins) // 20)))}
-    return best_fit([i for k in out for i in bins[k]], size, capacity, [b for k, b in enumerate(bins) if k not in out])
+    out = {*order[: max(1, len(bins) // 20)], *(rng.randrange(len(bins)) for _ in range(max(2, len(bins) // 10)))}
+    return [b for k, b in enumerate(bins) if k not in out] + completed([i for k in sorted(out) for i in bins[k]], size, capacity)
 
 
 def evolve(size: np.ndarray, capacity: int, p: Packing, rng: Random, elites: list[Bins]) -> Bins:
@@ -112,6 +137,7 @@ def evolve(size: np.ndarray, capacity: int, p: Packing, rng: Random, elites: lis
     population = [*elites, best_fit(items, size, capacity, [])]
     if min(len(b) for b in population) <= bound:
         return min(population, key=len)
+    population.append(completed(items, size, capacity))
     while len(population) < p.population:  # the rest begin with a random part placed first
         rng.shuffle(items)
         population.append(best_fit(items[len(items) // 3 :], size, capacity, best_fit(items[: len(items) // 3], size, capacity, [])))
@@ -121,7 +147,7 @@ def evolve(size: np.ndarray, capacity: int, p: Packing, rng: Random, elites: lis
         for _ in range(p.population // 2):
             one, two = (max(rng.sample(scored, min(2, len(scored))))[2] for _ in range(2))
             child = crossover(one, two, size, capacity, rng)
-            if rng.random() < 0.3:
+            if rng.random() < 0.5:
                 child = mutate(child, size, capacity, rng)
             scored.append((fitness(child, size, capacity), serial, child))
             serial += 1

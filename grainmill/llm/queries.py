@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.util import find_spec
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +32,9 @@ def p1_term_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return _terms(spark, folder).select("term", "occurrences", F.col("records").alias("messages"), F.col("last_record").alias("last_message_id"), "mark")
 
 
-#: Rank file of the public tokenizer; every executor reads it at this path.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+_PACKAGE = find_spec("public_tokenizers")
+#: Rank file of the public tokenizer, from the installed package; every executor reads it at this path.
+VOCABULARY = str(Path(_PACKAGE.origin).parent / "byte_bpe_50k.tiktoken") if _PACKAGE and _PACKAGE.origin else "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: Turns of at least 30 words; sets of word triples; half of the union in common.
 TURNS = neardup.NearDuplicates(shingle=3, threshold=0.5, least_words=30, bands=128, rows=5)

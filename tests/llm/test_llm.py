@@ -579,3 +579,20 @@ def test_class_pairs(spark, near_rows):
     spread = {(min(i, j), max(i, j)) for i, x in groups.items() for j, y in groups.items() if i != j and (x.class_id == y.class_id or (min(x.class_id, y.class_id), max(x.class_id, y.class_id)) in classes)}
     assert spread == brute_pairs(near_rows, Q.TURNS)
     assert neardup.near_duplicate_classes(texts(spark, []), "id", "text").count() == 0
+
+
+@pytest.mark.parametrize("low, high, gain", [(2600, 4200, 0.04), (2500, 5000, 0.02), (1500, 5000, 0.01)])
+def test_evolution_beats_best_fit_on_hard_sizes(low, high, gain):
+    rng = random.Random(24)
+    size = np.array([rng.randint(low, high) for _ in range(600)])
+    plain = containers.best_fit(list(range(600)), size, 10_000, [])
+    best = containers.evolve(size, 10_000, containers.Packing(), random.Random(1), [])
+    assert sorted(i for b in best for i in b) == list(range(600)) and all(size[b].sum() <= 10_000 for b in best)
+    assert len(best) <= (1 - gain) * len(plain)
+
+
+def test_completed_containers():
+    size = np.array([60, 50, 50, 40, 10, 0, 0, 100])
+    bins = containers.completed(list(range(8)), size, 100)
+    assert sorted(i for b in bins for i in b) == list(range(8)) and len(bins) == 4 and all(size[b].sum() <= 100 for b in bins)
+    assert containers.completed([], size, 100) == []
