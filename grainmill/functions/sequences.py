@@ -105,6 +105,15 @@ def answer_row(prompt: Column, answer: Column, max_length: int, max_prompt: int,
     return F.struct(F.concat(p, a).alias("input_ids"), F.concat(F.array_repeat(F.lit(IGNORE), F.size(p)), a).alias("labels"))
 
 
+def split_answer(prompt: Column, whole: Column) -> Column:
+    """struct(prompt, answer) of a whole's tokens, given its prompt's: where a tokenizer merges the prompt's last token with
+    the answer's first, the prompt ends one token earlier."""
+    n = F.size(prompt)
+    merged = ~F.slice(whole, F.lit(1), n).eqNullSafe(prompt)
+    at = F.when(merged & (n > 0), n - 1).otherwise(n)
+    return F.struct(F.slice(whole, F.lit(1), at).alias("prompt"), F.slice(whole, at + 1, F.greatest(F.size(whole), F.lit(1))).alias("answer"))
+
+
 def stepwise_row(prompt: Column, steps: Column, flags: Column, separator: int, last_only: bool = False) -> Column:
     """struct(input_ids, labels) of supervised steps: each step ends with a separator that carries its label."""
     n = F.size(steps)

@@ -79,3 +79,30 @@ def top_concepts(counts: DataFrame, concepts: DataFrame, k: int = 20) -> DataFra
     """The k most frequent concepts with their names, or ids where there is none."""
     best = counts.orderBy(F.desc("N_c"), "node_id").limit(k)
     return best.join(concepts.select("node_id", "node_name"), "node_id", "left").select("node_id", "N_c", F.coalesce("node_name", "node_id").alias("name"))
+
+
+def group_composition(counts: DataFrame, groups: DataFrame, fraction: float = 0.02) -> DataFrame:
+    """(grp, nodes, links, share, top_share, gini) of the groups (node_id, grp) of concepts: share of all links, and within
+    the group what its most frequent concepts hold (max(1, fraction * n rounded half to even) of them) and the Gini index.
+
+    Concepts without a group form the group (none). Windows see distinct frequencies of a group, not concepts.
+    """
+    named = counts.where("N_c > 0").join(small(groups.select("node_id", "grp")), "node_id", "left").select(F.coalesce("grp", F.lit("(none)")).alias("grp"), F.col("N_c").alias("x"))
+    levels = named.groupBy("grp", "x").agg(F.count(F.lit(1)).alias("c"))
+    w = W.partitionBy("grp")
+    before = lambda order: F.coalesce(F.sum("c").over(w.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = levels.withColumns({"up": before(F.asc("x")), "down": before(F.desc("x")), "n": F.sum("c").over(w)})
+    x, c = F.col("x").cast("double"), F.col("c")
+    taken = F.greatest(F.lit(0.0), F.least(c.cast("double"), F.greatest(F.lit(1.0), F.rint(F.lit(fraction) * F.col("n"))) - F.col("down")))
+    sums = placed.groupBy("grp").agg(F.sum("c").alias("nodes"), F.sum(F.col("x") * c).alias("links"), F.sum(x * taken).alias("top"), F.sum(x * (c * F.col("up") + c * (c + 1) / 2)).alias("ranked"))
+    total = sums.agg(F.sum("links")).scalar()
+    n, links = F.col("nodes"), F.col("links")
+    return sums.select("grp", "nodes", "links", (links / total).alias("share"), (F.col("top") / links).alias("top_share"), (2 * F.col("ranked") / (n * links) - (n + 1) / n).alias("gini"))
+
+
+def nodes_per_sample(links: DataFrame) -> DataFrame:
+    """One row (samples, median): how many samples have links, and the upper median of their numbers of links. The window
+    sees one row per number. No links give 0 and null."""
+    numbers = links.groupBy("sample_key").agg(F.count(F.lit(1)).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    upto = numbers.withColumns({"upto": F.sum("c").over(W.orderBy("k").rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("c").over(W.partitionBy(F.lit(0)))})
+    return upto.agg(F.coalesce(F.max("n"), F.lit(0)).alias("samples"), F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("k"))).alias("median"))

@@ -70,12 +70,22 @@ def extract_prompt(pairs: DataFrame) -> DataFrame:
     return known.withColumns({"prompt": F.slice("chosen", F.lit(1), n), "chosen": rest("chosen"), "rejected": rest("rejected")}).drop("_shared")
 
 
+def extract_text_prompt(pairs: DataFrame) -> DataFrame:
+    """The beginning that two texts share becomes the prompt and leaves both: up to where they differ, or to the last
+    character of the shorter one if that is all of it, and without a space at its end. Null sides share nothing."""
+    shared, n = F.length(X.common_prefix(F.col("chosen"), F.col("rejected"))), F.least(F.length("chosen"), F.length("rejected"))
+    known = pairs.withColumn("_n", F.when(shared.isNotNull(), F.least(shared, F.greatest(n - 1, F.lit(0)))).otherwise(0))
+    known = known.withColumn("_n", F.when((F.col("_n") > 0) & (F.substr("chosen", F.col("_n"), F.lit(1)) == " "), F.col("_n") - 1).otherwise(F.col("_n")))
+    rest = lambda c: F.substr(F.col(c), F.col("_n") + 1)
+    return known.withColumns({"prompt": F.substr(F.coalesce("chosen", F.lit("")), F.lit(1), F.col("_n")), "chosen": rest("chosen"), "rejected": rest("rejected")}).drop("_n")
+
+
 def maybe_extract_prompt(pairs: DataFrame) -> DataFrame:
     """Only where there is no prompt yet, or it isn't conversational while the sides are."""
     sides = is_conversational(pairs.schema["chosen"].dataType)
     if "prompt" in pairs.columns and is_conversational(pairs.schema["prompt"].dataType) == sides:
         return pairs
-    return extract_prompt(pairs)
+    return extract_prompt(pairs) if sides else extract_text_prompt(pairs)
 
 
 def unpair(pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +46,18 @@ def pick_pair(rows: DataFrame, prompt: str, place: str, score: str, item: str) -
     both = rows.groupBy(prompt).agg(at(0, score).alias("s0"), at(1, score).alias("s1"), at(0, item).alias("i0"), at(1, item).alias("i1"))
     first = F.col("s0") >= F.col("s1")
     return both.where("s0 is not null and s1 is not null").select(prompt, F.when(first, F.col("i0")).otherwise(F.col("i1")).alias("chosen"), F.when(first, F.col("i1")).otherwise(F.col("i0")).alias("rejected"))
+
+
+def pairwise(rows: DataFrame, key: str, first: str, second: str, judge: Callable[[Column, Column], Column], name: str = "winner", shuffled: bool = True) -> DataFrame:
+    """Adds the winner (0 or 1, -1 if the judge failed) of two answers. `judge` gets the two as shown, which is in reverse
+    for half of the keys if `shuffled`, against a bias for a place; a null verdict is a failure."""
+    reverse = flipped(F.col(key)) if shuffled else F.lit(False)
+    shown = [F.when(reverse, F.col(b)).otherwise(F.col(a)) for a, b in ((first, second), (second, first))]
+    return rows.withColumn(name, unflipped(F.coalesce(judge(*shown).cast("int"), F.lit(-1)), reverse))
+
+
+def rank(rows: DataFrame, answers: str, score: Callable[[Column], Column], name: str = "ranks") -> DataFrame:
+    """Adds the places (from 0, best first) of an array of answers by a score; ties go by position, null scores come last."""
+    scored = F.transform(answers, lambda a, i: F.struct(F.coalesce(-score(a), F.lit(float("inf"))).alias("s"), i.alias("i")))
+    order = F.transform(F.array_sort(scored), lambda x: x["i"])
+    return rows.withColumn("_order", order).withColumn(name, F.transform(answers, lambda a, i: (F.array_position("_order", i) - 1).cast("int"))).drop("_order")

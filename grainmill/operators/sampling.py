@@ -132,3 +132,24 @@ def first_k(rows: DataFrame, k: int, *order: Column | str) -> DataFrame:
 def head_fraction(rows: DataFrame, fraction: float, *order: Column | str) -> DataFrame:
     """The first rows in order, that share of all rounded down."""
     return rows.orderBy(*order).limit(int(rows.count() * fraction))
+
+
+def sample_with_replacement(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """(draw, rows' columns): n draws, each of one row by a hash of the draw's number. No rows give no draws."""
+    total = rows.count()
+    if not total:
+        return rows.withColumn("draw", F.lit(0).cast("long")).limit(0)
+    draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("_place"))
+    return ranked(rows, key, name="_place").join(draws, "_place").drop("_place")
+
+
+def modality_grouped(rows: DataFrame, key: str, length: str, batch: int, world: int, seed: int = 42) -> DataFrame:
+    """length_grouped() of rows whose length's sign tells their modality: megabatches hold one modality each, but for a last
+    one of what either leaves over; lengths come out without their sign. Rows of length 0 or null count as positive."""
+    size = batch * world
+    signed = rows.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(length), F.lit(0)).cast("long").alias("length")).withColumn("text", F.col("length") < 0).withColumn("length", F.abs("length"))
+    sides = [shuffle(signed.where("text" if text else "not text"), "id", seed + text) for text in (False, True)]
+    counts = [s.count() for s in sides]
+    whole = [c // size for c in counts]
+    parts = [s.select(F.when(F.col("place") < w * size, F.floor(F.col("place") / size) + at).otherwise(F.lit(sum(whole)) + F.floor((F.col("place") - w * size + skip) / size)).cast("long").alias("megabatch"), "id", "length") for s, w, at, skip in zip(sides, whole, (0, whole[0]), (0, counts[0] % size))]
+    return parts[0].unionByName(parts[1]).groupBy("megabatch").applyInPandas(_even_split(world), "megabatch long, chunk int, id long, length long")

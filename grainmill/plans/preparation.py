@@ -40,6 +40,17 @@ def preference(df: DataFrame, tokenise: Tokenise, eos: int, max_prompt: int = 51
     return text.select(*kept, row.alias("r")).select(*kept, F.col("r.prompt").alias("prompt_input_ids"), F.col("r.chosen").alias("chosen_input_ids"), F.col("r.rejected").alias("rejected_input_ids"))
 
 
+def reference_free(df: DataFrame, tokenise: Tokenise, bos: int, eos: int, max_length: int = 1024, max_prompt: int = 512, mode: str = "keep_end") -> DataFrame:
+    """Pairs for losses without a reference model: of both sides the tokens of prompt and answer with start and end tokens,
+    cut, with labels that leave out the prompt; a token that the tokenizer merges over the border counts to the answer."""
+    text = conversation.apply_template(conversation.maybe_extract_prompt(df))
+    for side in ("chosen", "rejected"):
+        text = text.withColumn("_s", sequences.split_answer(tokenise(F.col("prompt")), tokenise(F.concat("prompt", side))))
+        row = sequences.answer_row(sequences.with_bos(F.col("_s.prompt"), bos), sequences.with_eos_token(F.col("_s.answer"), eos), max_length, max_prompt, mode)
+        text = text.withColumn(f"{side}_row", row)
+    return text.drop("_s", "prompt", "chosen", "rejected")
+
+
 def reward(df: DataFrame, tokenise: Tokenise, length: int) -> DataFrame:
     """Pairs of which both sides fit the length, as tokens."""
     text = conversation.apply_template(conversation.maybe_extract_prompt(df))

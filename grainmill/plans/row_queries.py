@@ -595,3 +595,98 @@ def tar_samples(spark: SparkSession, d: str) -> DataFrame:
     captions = webdataset.sidecars(rows).agg(F.sum(F.length("caption")).alias("n")).scalar()
     samples = webdataset.samples(rows).agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("__url__").alias("shards"), F.sum(F.length("txt")).alias("characters"))
     return samples.withColumns({"captions": captions, "keys": keys})
+
+
+# Groups, draws and preparations
+
+
+_HEADS = "h as (select node_id, coalesce(nullif(string_split(lower(trim(string_split(node_name,' (')[1])),' ')[-1],''),'(none)') grp from concepts)"
+
+
+@query(f"""with {base._COUNTS}, {_HEADS}, x as (select coalesce(grp,'(none)') grp, n from c left join h using(node_id)), o as (select *, row_number() over (partition by grp order by n) i, row_number() over (partition by grp order by n desc) j, count(*) over (partition by grp) k from x)
+ select grp, count(*)::bigint as nodes, sum(n)::bigint as links, round(sum(n)/(select sum(n) from c),8) as share, round(sum(case when j<=greatest(1, round_even(0.02*k,0)) then n else 0 end)/sum(n),8) as top_share, round(2.0*sum(i*n)/(max(k)*sum(n))-(max(k)+1.0)/max(k),8) as gini from o group by 1""")
+def group_composition(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import audit
+
+    head = F.coalesce(F.nullif(F.element_at(F.split(linking.base_name(F.col("node_name")), " "), -1), F.lit("")), F.lit("(none)"))
+    groups = table(spark, d, "concepts").select("node_id", head.alias("grp"))
+    out = audit.group_composition(rebalance.concept_counts(base._links(spark, d)), groups)
+    return out.withColumns({c: _r(c, 8) for c in ("share", "top_share", "gini")})
+
+
+@query(f"with {base._LINKS}, k as (select count(*) k from l group by sample_key), o as (select k, row_number() over (order by k)-1 i, count(*) over () n from k) select max(n)::bigint as samples, max(case when i=n//2 then k end)::bigint as median from o")
+def nodes_per_sample(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import audit
+
+    return audit.nodes_per_sample(base._links(spark, d))
+
+
+@query("select 500::bigint as draws, 500::bigint as places, true as known, true as again")
+def draws_with_replacement(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id").where("doc_id is not null")
+    drawn = sampling.sample_with_replacement(docs.limit(300), "doc_id", 500)  # fewer rows than draws: some come again
+    lost = drawn.join(docs, "doc_id", "left_anti").count()
+    return drawn.agg(F.count(F.lit(1)).alias("draws"), F.count_distinct("draw").alias("places"), F.lit(lost == 0).alias("known"), (F.count_distinct("doc_id") < 500).alias("again"))
+
+
+@query("with n as (select count(*) filter (where doc_id%3<>0) a, count(*) filter (where doc_id%3=0) b from documents) select (a+b)::bigint as rows, (a+b)::bigint as ids, ceil((a+b)/64)::bigint as megabatches, (case when a%64>0 and b%64>0 then 1 else 0 end)::bigint as mixed from n")
+def modality_grouped_shape(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, -F.coalesce(F.length("text"), F.lit(0)) - 1).otherwise(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
+    out = sampling.modality_grouped(docs, "doc_id", "n", 16, 4)
+    kinds = out.groupBy("megabatch").agg(F.count_distinct(F.col("id") % 3 == 0).alias("k"))
+    return out.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"), F.count_distinct("megabatch").alias("megabatches")).withColumn("mixed", kinds.agg(F.count_if(F.col("k") > 1).alias("m")).scalar())
+
+
+@query("select user_id, event_id, value from events qualify row_number() over (partition by user_id order by value desc nulls last, event_id)<=3")
+def best_of_three(spark: SparkSession, d: str) -> DataFrame:
+    return advantages.best_of(_events(spark, d).select("user_id", "event_id", "value"), "user_id", "value", "event_id", 3)
+
+
+@query(f"""with {_LASTS}, n as (select *, coalesce(list_min(list_filter(range(1, least(length(a),length(b))+1), lambda i: a[i]<>b[i]))-1, least(length(a),length(b))) k, least(length(a),length(b)) m from s),
+ c as (select *, case when a is null or b is null then 0 else least(k, greatest(m-1,0)) end d from n), e as (select *, case when d>0 and a[d]=' ' then d-1 else d end f from c)
+ select pref_id, substr(coalesce(a,''),1,f) as prompt, substr(a,f+1) as chosen, substr(b,f+1) as rejected from e""")
+def text_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return conversation.maybe_extract_prompt(_lasts(spark, d).withColumnsRenamed({"a": "chosen", "b": "rejected"})).select("pref_id", "prompt", "chosen", "rejected")
+
+
+@query("select event_id, (case when event_id%11=0 then -1 when value>=10 then 0 else 1 end)::int as winner, (case when value>=10 then 0 else 1 end)::int as first_rank, (case when value>=10 then 1 else 0 end)::int as second_rank from events")
+def judged_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """A judge by value against ten, shown in either order, that fails on some; and ranks of the two."""
+    rows = _events(spark, d).select("event_id", F.when(F.col("event_id") % 11 != 0, F.struct(F.col("value").alias("v"), F.lit(0).alias("p"))).alias("a"), F.struct(F.lit(10.0).alias("v"), F.lit(1).alias("p")).alias("b"), F.array("value", F.lit(10.0)).alias("both"))
+    # ties go to the first of the pair, in whichever order it is shown
+    won = judging.pairwise(rows, "event_id", "a", "b", lambda x, y: F.when((x["v"] > y["v"]) | ((x["v"] == y["v"]) & (x["p"] < y["p"])), 0).when(x.isNotNull() & y.isNotNull(), 1))
+    ranked = judging.rank(won, "both", lambda v: v)
+    return ranked.select("event_id", "winner", F.get("ranks", F.lit(0)).alias("first_rank"), F.get("ranks", F.lit(1)).alias("second_rank"))
+
+
+def _lengths(text) -> F.Column:
+    """A stand-in for a tokenizer: the lengths of words."""
+    return F.transform(F.split(text, " "), lambda w: F.length(w))
+
+
+_LEN = "list_transform(string_split({x}, ' '), lambda w: length(w)::int)"
+
+
+@query(f"""with {_LASTS}, t as (select pref_id, {_LEN.format(x='prompt')} p, {_LEN.format(x='a')} a, {_LEN.format(x='b')} b from s join (select distinct pref_id, prompt from preferences where prompt is not null) using(pref_id) where a is not null and b is not null)
+ select distinct pref_id, {_sql_digest('case when len(p)>6 then p[len(p)-5:] else p end')} as prompt, {_sql_digest('list_concat(a,[2])[1:9]')} as chosen, {_sql_digest('list_concat(b,[2])[1:9]')} as rejected from t""")
+def preference_preparation(spark: SparkSession, d: str) -> DataFrame:
+    from . import preparation
+
+    pairs = _lasts(spark, d).withColumnsRenamed({"a": "chosen", "b": "rejected"}).join(table(spark, d, "preferences").select("pref_id", "prompt").where("prompt is not null").distinct(), "pref_id")
+    out = preparation.preference(pairs.where("chosen is not null and rejected is not null"), _lengths, 2, 6, 9)
+    return out.select("pref_id", _digest(F.col("prompt_input_ids")).alias("prompt"), _digest(F.col("chosen_input_ids")).alias("chosen"), _digest(F.col("rejected_input_ids")).alias("rejected")).distinct()
+
+
+@query(f"with {_CONV}, r as (select conv_id, {_IM.format(l='l')} x from t) select conv_id, {_sql_digest(_LEN.format(x='case when ends_with(x, chr(10)||chr(10)) then x else x||chr(10)||chr(10) end') + '[1:50]')} as digest from r")
+def supervised_preparation(spark: SparkSession, d: str) -> DataFrame:
+    from . import preparation
+
+    out = preparation.supervised(_conversations(spark, d), _lengths, 50, "conv_id", eos="\n\n")
+    return out.select("conv_id", _digest(F.col("input_ids")).alias("digest"))
+
+
+@query("select count(*) filter (where value>=10)::bigint as good, count(*) filter (where value is null or value<10)::bigint as bad from events")
+def quarantined(spark: SparkSession, d: str) -> DataFrame:
+    good, bad = tabular.quarantine(_events(spark, d), F.col("value") >= 10)
+    side = lambda df, g: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(g).alias("g"), "n")
+    return side(good, True).unionByName(side(bad, False)).agg(F.sum(F.when(F.col("g"), F.col("n"))).alias("good"), F.sum(F.when(~F.col("g"), F.col("n"))).alias("bad"))

@@ -59,9 +59,16 @@ def stream(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def parse_config(text: str) -> dict[str, object]:
-    """`name: value` lines of an experiment; JSON objects too. Values are numbers, booleans, null or text."""
+    """`name: value` lines of an experiment, JSON objects, and nested YAML where its package is installed. Values of flat lines
+    are numbers, booleans, null or text."""
     if text.lstrip().startswith("{"):
         return json.loads(text)
+    if any(x[:1] in " \t-" and x.strip() and not x.startswith("---") for x in text.splitlines()):
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("nested YAML needs the yaml package; JSON or flat lines don't") from e
+        return yaml.safe_load(text)
     out: dict[str, object] = {}
     for line in text.splitlines():
         line = line.split(" #")[0].strip()
@@ -111,5 +118,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def quarantine(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that are valid, and all others, those where it can't be told among them: nothing is drawn in their place."""
+    told = F.coalesce(valid, F.lit(False))
+    return rows.where(told), rows.where(~told)
+
+
 def local_report(report: Mapping[str, object], path: str) -> None:
     Path(path).write_text(json.dumps(report, indent=1, sort_keys=True))
