@@ -168,17 +168,18 @@ def shingle_classes(texts: DataFrame, id_column: str, text: str, p: NearDuplicat
     equal `same` are equal byte by byte.
 
     Null texts and texts below `least_words` are in no class. Sizes are aggregated on the map side, so that a third of all
-    rows may be one text.
+    rows may be one text; only digests and ids move for that. The sets stay where they were written, and a class is the row
+    of its least id.
     """
     sets = texts.where(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).cast("long"), F.col(text)).mapInArrow(
         _shingle_sets(p), "id long, key binary, shingles array<long>, same long"
     )
     sets = cut(sets)
-    classes = sets.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("shingles", "id").alias("shingles"))
-    classes = cut(classes)
+    sizes = sets.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copied = listed(sizes)
     # a class of one is its own member: only copies need the join
-    members = sets.select("id", "key", "same").join(classes.where("copies > 1").select("key", "rep"), "key", "left").select("id", F.coalesce("rep", "id").alias("rep"), "same")
-    return members, classes.select("rep", "shingles", "copies")
+    placed = sets.join(copied, "key", "left").withColumns({"rep": F.coalesce("rep", "id"), "copies": F.coalesce("copies", F.lit(1).cast("long"))})
+    return placed.select("id", "rep", "same"), placed.where("id = rep").select("rep", "shingles", "copies")
 
 
 def _hot_pairs(hot: DataFrame, classes: DataFrame, p: NearDuplicates) -> DataFrame:
