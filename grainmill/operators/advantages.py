@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clipped
+from . import sampling
 from .sampling import quantiles
 
 
@@ -132,7 +133,7 @@ def nucleus(rows: DataFrame, group: str, token: str, logit: str, top_k: int = 0,
 
 def high_entropy(rows: DataFrame, entropy: str, mask: str, quantile: float) -> DataFrame:
     """Adds high: valid tokens at or above the quantile (linear between neighbours) of all valid tokens."""
-    least = quantiles(rows.where(F.col(mask) == 1), entropy, quantile).scalar()
+    least = F.lit(sampling.quantile(rows.where(F.col(mask) == 1), entropy, quantile))
     return rows.withColumn("high", (F.col(mask) == 1) & F.coalesce(F.col(entropy) >= least, F.lit(False)))
 
 

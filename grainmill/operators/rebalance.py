@@ -10,7 +10,7 @@ from ..context import cut, listed, small
 from ..functions.hashing import draw
 from ..functions.schedule import Schedule, concept_multiplicity, realise
 from .linking import base_name
-from .sampling import quantiles
+from .sampling import quantile
 
 
 def concept_counts(links: DataFrame) -> DataFrame:
@@ -60,8 +60,8 @@ def mean_inverse(links: DataFrame, counts: DataFrame, universe: DataFrame | None
     if universe is None:
         return w
     w = cut(w)
-    median = quantiles(w.where("w > 0"), "w", 0.5).scalar()
-    return _with_unlinked(w, universe, F.coalesce(median, F.lit(1.0)), "w")
+    median = quantile(w.where("w > 0"), "w", 0.5)
+    return _with_unlinked(w, universe, F.lit(1.0 if median is None else median), "w")
 
 
 def to_budget(weights: DataFrame, budget: float | None = None, cap: float | None = 16.0) -> DataFrame:

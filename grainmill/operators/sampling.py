@@ -50,7 +50,7 @@ def quantiles(rows: DataFrame, value: str, q: float, *groups: str) -> DataFrame:
     at = (F.col("_n") - 1) * F.lit(float(q))
     holds = lambda r: F.max(F.when((r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_c")), F.col("_v")))
     found = ranked.groupBy(*names).agg(holds(F.floor(at)).alias("_lo"), holds(F.ceil(at)).alias("_hi"), F.max(at - F.floor(at)).alias("_f"))
-    exact = found.select(*names, (F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias("quantile"))
+    exact = found.select(*names, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias("quantile"))
     if not groups:
         return exact.agg(F.max("quantile").alias("quantile"))
     every = values.select(*[F.col(k).alias(r) for k, r in zip(names, theirs)]).distinct()
@@ -58,6 +58,42 @@ def quantiles(rows: DataFrame, value: str, q: float, *groups: str) -> DataFrame:
     return out.select(*[F.col(r).alias(g) for r, g in zip(theirs, groups)], "quantile")
 
 
+#: Values of a narrowed range that are fetched and sorted on the driver, and bins a range is counted in.
+FETCHED, BINS = 10_000, 1024
+
+
+def quantile(rows: DataFrame, value: str, q: float) -> float | None:
+    """quantiles() of all rows as a number, without a sort: the range that holds the rank is counted in bins and narrowed to
+    one of them, until it has few values or is one value. Each step is an aggregate of BINS rows at most."""
+    known = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    x = rows.select(known.alias("x")).where("x is not null")
+    n, least, most = x.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+
+    def at(rank: int) -> float:
+        low, high, inside = least, most, n
+        while low < high:
+            part = x.where(F.col("x").between(low, high))
+            width = high - low
+            if inside <= FETCHED or not 0 < width < float("inf"):
+                if inside > FETCHED:  # bounds too far apart to be counted in bins
+                    return quantiles(part, "x", rank / (inside - 1)).first()[0]
+                return sorted(r.x for r in part.collect())[rank]
+            b = F.least(F.floor((F.col("x") - low) / width * BINS), F.lit(BINS - 1))
+            for r in part.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect():
+                if rank < r.c:
+                    low, high, inside = r.lo, r.hi, r.c
+                    break
+                rank -= r.c
+        return low
+
+    place = (n - 1) * q
+    one = at(int(place))
+    two = one if place == int(place) else at(int(place) + 1)
+    return one if one == two else one + (place - int(place)) * (two - one)
+
+
 def shuffle(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Adds `place` in a pseudo-random order of distinct keys."""
     return ranked(rows.withColumn("_h", F.xxhash64(key, F.lit(seed))), "_h", key).drop("_h")

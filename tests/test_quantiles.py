@@ -101,3 +101,17 @@ def test_shards_by_scheme(spark, tmp_path):
     assert found == sorted(f"file://{tmp_path}/in/{x}" for x in ("x.tar", "deep/y.tar"))
     rows = webdataset.members(spark, f"file://{tmp_path}/in", payload="true").collect()
     assert sorted(r.tar_path for r in rows) == found and {bytes(r.payload) for r in rows} == {b"hello"}
+
+
+def test_one_quantile_against_numpy(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "FETCHED", 20)
+    monkeypatch.setattr(sampling, "BINS", 16)
+    rng = random.Random(5)
+    for rows in ([rng.expovariate(1) ** 9 for _ in range(500)], [1.0] * 300 + [2.0] * 200, [rng.random() for _ in range(31)] + [float("inf")] * 40, [3.0]):
+        df = spark.createDataFrame([(v,) for v in [*rows, None, float("nan")]], "v double")
+        for q in (0.0, 0.3, 0.5, 1.0):
+            place, up = (len(rows) - 1) * q, sorted(rows)
+            one, two = up[int(place)], up[-int(-place // 1)]  # infinite neighbours are equal, not apart by nan
+            got, want = sampling.quantile(df, "v", q), one if one == two else one + place % 1 * (two - one)
+            assert got == want or abs(got - want) <= 1e-9 * abs(want)
+    assert sampling.quantile(df.limit(0), "v", 0.5) is None
