@@ -11,8 +11,8 @@ from ..context import cut, small
 from ..functions.hashing import draw_of, priority
 from ..plans.filter_language import where
 
-#: Fixed value: what a number looks like; anything else is no score.
-NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+#: Fixed value: what a number looks like, an infinite one too; anything else is no score.
+NUMBER = r"(?i)^\s*[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
 
 
 def first_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:

@@ -141,6 +141,16 @@ def test_enrich(spark):
     assert catalog.enrich(index, scores.limit(0), ["q"], "pos").count() == 5
 
 
+def test_enrich_infinite(spark):
+    index = spark.createDataFrame([(k,) for k in "abcdef"], "sample_key string")
+    texts = [("a", "inf", 1), ("b", "-Infinity", 1), ("c", " +INF ", 1), ("d", "infinit", 1), ("e", "1e400", 1), ("f", "inf1", 1)]
+    got = {r.sample_key: r.q for r in catalog.enrich(index, spark.createDataFrame(texts, "sample_key string, q string, pos int"), ["q"], "pos").collect()}
+    assert got == {"a": math.inf, "b": -math.inf, "c": math.inf, "d": None, "e": math.inf, "f": None}
+    numbers = spark.createDataFrame([("a", math.inf, 1), ("b", -math.inf, 1), ("c", 1.5, 1)], "sample_key string, q double, pos int")
+    got = {r.sample_key: r.q for r in catalog.enrich(index, numbers, ["q"], "pos").collect()}
+    assert got["a"] == math.inf and got["b"] == -math.inf and got["c"] == 1.5 and got["d"] is None
+
+
 def test_select_and_scan(spark):
     rows = [(f"k{i}", i, i % 10 / 10) for i in range(20)]
     df = spark.createDataFrame(rows, "sample_key string, priority long, s double")
